@@ -7,6 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .quality import quality_scores
+from .url_rules import host_rule, judge_urls, word_rule
+
+#: Fixed rules of the URL query: host and path, then whole words of the method's own.
+HOST_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+BLOCK_WORDS = [
+    "adult", "bets", "betting", "casino", "escort", "gambling", "jackpot", "malware", "nude", "phishing", "poker", "porn",
+    "sex", "slots", "spam", "viagra", "warez", "xxx",
+]
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents`` as ``labels.quality`` marks it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +44,40 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
 """
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every URL of ``pages``."""
+    rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in BLOCK_WORDS]
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+OP8_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+fits AS (
+  SELECT page_id, p.host, p.path,
+         arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.action, length(r.host || r.path)) AS action
+  FROM parts p LEFT JOIN (VALUES {", ".join(map(str, HOST_RULES))}) r(host, path, action)
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY page_id, p.host, p.path)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({"|".join(BLOCK_WORDS)})([^a-z0-9]|$)')
+                             THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op8_url_filters": op8_url_filters,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
