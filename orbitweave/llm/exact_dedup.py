@@ -39,7 +39,7 @@ def bucket_directory(entries: DataFrame, capacity: int = 4096, max_depth: int =
         (F.col("held") <= capacity) | (F.col("depth") == max_depth)
     )
     return (
-        levels.join(fits, ["depth", "bucket"])
+        levels.join(F.broadcast(fits), ["depth", "bucket"])  # at most 2 ** (max_depth + 1) rows
         .groupBy("cell")
         .agg(F.min(F.struct("depth", "bucket")).alias("leaf"))
         .select("cell", "leaf.depth", "leaf.bucket")

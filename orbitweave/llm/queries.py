@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 from .quality import quality_scores
 from .url_rules import host_rule, judge_urls, word_rule
 
@@ -30,6 +31,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of ``documents``; the smallest doc_id of each is kept."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows of ``documents`` stay when equal texts are dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -74,6 +80,7 @@ FROM fits
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_url_filters": op8_url_filters,
     }
