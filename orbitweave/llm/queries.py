@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality import quality_scores
 from .url_rules import host_rule, judge_urls, word_rule
 
@@ -25,6 +26,11 @@ BLOCK_WORDS = [
 ]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in sequences of at most 4096 tokens."""
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents`` as ``labels.quality`` marks it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -79,6 +85,7 @@ FROM fits
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_exact_dedup": op5_exact_dedup,
