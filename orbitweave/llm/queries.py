@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality_scores
+from .threshold_topk import top_inner_products
 from .url_rules import host_rule, judge_urls, word_rule
 
 #: Fixed rules of the URL query: host and path, then whole words of the method's own.
@@ -42,12 +44,32 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector of ``embeddings`` with all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_inner_products(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rows of ``documents`` stay when equal texts are dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
 OP5_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -88,10 +110,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_exact_topk": op4_exact_topk,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_url_filters": op8_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_url_filters": OP8_SQL}
