@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import find_personal_data
 from .quality import quality_scores
 from .threshold_topk import top_inner_products
 from .url_rules import host_rule, judge_urls, word_rule
@@ -84,6 +85,11 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``."""
+    return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 OP8_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_topk": op4_exact_topk,
         "op5_exact_dedup": op5_exact_dedup,
         "op8_url_filters": op8_url_filters,
+        "op9_pii": op9_pii,
     }
 
 
