@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_personal_data
 from .quality import quality_scores
+from .recipes import MIX_SHARE, domain_of, source_weights
 from .threshold_topk import top_inner_products
+from .token_files import read_token_files, write_token_files
 from .url_rules import host_rule, judge_urls, word_rule
 
 #: Fixed rules of the URL query: host and path, then whole words of the method's own.
@@ -79,6 +82,14 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
 """
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that mixing takes from ``documents`` in up to two epochs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = domain_of(F.col("source")), F.col("lang"), F.col("source")
+    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, max_epochs=2)
+    return mixed.select("doc_id", F.col("mix_epoch").alias("epoch"), domain_of(F.col("source")).alias("domain"), "lang", "source")
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every URL of ``pages``."""
     rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in BLOCK_WORDS]
@@ -90,6 +101,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written as coded token ids and read back."""
+    return read_token_files(write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP8_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -118,8 +141,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_exact_topk": op4_exact_topk,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_mixing": op6_mixing,
         "op8_url_filters": op8_url_filters,
         "op9_pii": op9_pii,
+        "op10_token_files": op10_token_files,
+        "pipeline": pipeline,
     }
 
 
