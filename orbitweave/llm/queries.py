@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .lm_scoring import backoff_scores
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -90,6 +91,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_epoch").alias("epoch"), domain_of(F.col("source")).alias("domain"), "lang", "source")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all ``documents`` from counts over all of them."""
+    return backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every URL of ``pages``."""
     rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in BLOCK_WORDS]
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_topk": op4_exact_topk,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_url_filters": op8_url_filters,
         "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
