@@ -1,6 +1,6 @@
 """All registered queries: importing this module fills the registry."""
 
-from orbitweave.jobs import planning, preparation
+from orbitweave.jobs import estimation, planning, preparation
 from orbitweave.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "planning", "preparation"]
+__all__ = ["ORACLES", "QUERIES", "estimation", "planning", "preparation"]

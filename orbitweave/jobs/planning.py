@@ -173,7 +173,7 @@ def wrap_turn_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {MEAS}, {RING_SQL}, {_OFFSETS},
 starts AS (SELECT DISTINCT file_idx, turn, CAST(turn % 3 AS INTEGER) AS range_id FROM meas WHERE turn % 200 BETWEEN 2 AND 197)
-SELECT s.file_idx, s.turn AS start_turn, s.range_id, CAST(point AS INTEGER) AS point, o.name, m.x, m.event_id
+SELECT s.file_idx, s.turn AS start_turn, s.range_id, CAST(point AS INTEGER) AS point, o.name, m.x, coalesce(m.event_id, -1) AS event_id
 FROM starts s JOIN offsets o USING (range_id) LEFT JOIN meas m ON m.turn = s.turn + o."offset" AND m.name = o.name AND m.file_idx = s.file_idx
 """)
 def wrap_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def wrap_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = rows.where("turn % 200 between 2 and 197").select("file_idx", "turn", (F.col("turn") % 3).cast("int").alias("range_id")).distinct()
     points = offset_points(spark).select("range_id", "name", "point", "offset")
     out = ranges.gather(starts, points, rows.select("file_idx", "turn", "name", "x", "event_id"))
-    return out.select("file_idx", "start_turn", "range_id", F.col("point").cast("int").alias("point"), "name", "x", "event_id")
+    return out.select("file_idx", "start_turn", "range_id", F.col("point").cast("int").alias("point"), "name", "x", F.coalesce("event_id", F.lit(-1)).alias("event_id"))
 
 
 @query(f"""

@@ -56,7 +56,7 @@ def top_movers(values: DataFrame, change: Column, tie: str, n: int = 12) -> Data
 def pivot_turns(rows: DataFrame, key: str, turn: str, turns: Sequence[int], value: str) -> DataFrame:
     """One row per key with a column per turn; a gap or a repeated reading is an error."""
     cells = rows.where(F.col(turn).isin(list(turns))).groupBy(key).pivot(turn, list(turns)).agg(
-        F.count("*").alias("n"), F.first(value).alias("v")
+        F.count(turn).alias("n"), F.first(value).alias("v")
     )
     columns = []
     for t in turns:
