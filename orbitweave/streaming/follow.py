@@ -1,0 +1,78 @@
+"""Following runs while they are written, by Structured Streaming over one JSON file per step.
+
+A file source delivers whole new files and never rereads one that grew, so a live log
+is a folder of step files. Rows arrive in any order within a trigger, so each trigger
+is put in order of steps before it touches a run's state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+STEPS = "run_id long, step long, loss double"
+STATE = "step long, best double, best_step long, ema double, last double"
+PROGRESS = "run_id long, step long, loss double, best double, best_step long, ema double, change double, stop boolean"
+
+
+def read_steps(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of (run_id, step, loss) from the JSON files of a folder."""
+    return spark.readStream.schema(STEPS).option("maxFilesPerTrigger", files_per_trigger).json(folder)
+
+
+def progress(alpha: float = 0.2, stop_change: float = 1e-6):
+    """The state function: per run the best loss so far, the moving average, its change and whether to stop.
+
+    Steps at or before the last one seen are late repeats and dropped; use
+    ``latest_steps`` where the last writer must win.
+    """
+
+    def update(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("step", kind="stable").drop_duplicates("step", keep="last")
+        at, best, best_step, ema, last = state.get if state.exists else (-(1 << 62), float("inf"), -1, 0.0, float("nan"))
+        out = []
+        for step, loss in zip(rows["step"].tolist(), rows["loss"].tolist(), strict=True):
+            if step <= at or loss != loss:
+                continue
+            if loss < best:
+                best, best_step = loss, step
+            before = ema
+            ema = loss if ema == 0.0 else alpha * ema + (1 - alpha) * loss
+            change = 0.0 if before == 0.0 or last != last else (ema - before) / before
+            stop = last == last and abs(change) < stop_change
+            at, last = step, loss
+            out.append((key[0], step, loss, best, best_step, ema, change, stop))
+        state.update((at, best, best_step, ema, last))
+        yield pd.DataFrame(out, columns=["run_id", "step", "loss", "best", "best_step", "ema", "change", "stop"])
+
+    return update
+
+
+def follow(steps: DataFrame, alpha: float = 0.2, stop_change: float = 1e-6) -> DataFrame:
+    """The running progress of every run, a row per new step."""
+    return steps.groupBy("run_id").applyInPandasWithState(
+        progress(alpha, stop_change), PROGRESS, STATE, "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def latest_steps(steps: DataFrame, table: str, checkpoint: str):
+    """A streaming query that keeps the newest row of each (run, step) in versions of a Parquet table.
+
+    Each trigger merges its rows over the last version and writes the next one under
+    ``table``/version=N; readers take the highest version. Replaying a trigger writes
+    the same version again.
+    """
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("run_id", "step", "loss", F.lit(number).cast("long").alias("trigger"))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{table}/version={number - 1}"))
+        newest = rows.groupBy("run_id", "step").agg(F.max_by(F.struct("loss", "trigger"), "trigger").alias("r"))
+        newest.select("run_id", "step", "r.loss", "r.trigger").write.mode("overwrite").parquet(f"{table}/version={number}")
+
+    return steps.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
