@@ -7,13 +7,17 @@
    bucket's smallest hash) are cut into bands. Sets of at most five shingles reach
    the threshold only when equal, so they have no bands. Two sets of similarity
    0.85 miss each other in all 26 bands with probability 5e-6.
-3. Classes that share a band are compared in three rounds, each followed by
-   joining components: with the smallest centre of their bands, with a centre of
-   every band that still holds several components, and last every remaining pair
-   from different components. A group of thousands of alike texts falls together
-   in the first rounds, so pairs within it are never listed; and as the last round
-   leaves no unchecked pair between components, no candidate is lost.
-4. A pair is checked by its registers, corrected for chance agreement, with a wide
+3. Classes that share a band are compared in rounds, each followed by joining
+   components: with the smallest centre of their bands, then with a centre of every
+   band that still holds several components. So a group of thousands of alike texts
+   falls together without a list of its pairs.
+4. What is left are bands of texts that are alike but mostly below the threshold.
+   Listing their pairs would grow with the square of the band, so their sets are
+   joined by exact prefix and position filters instead: with the rarest shingles
+   first, two sets can reach the threshold only if they share one of the first ones,
+   early enough for the rest to suffice. That join finds every link between
+   components, so no candidate is lost.
+5. A pair is checked by its registers, corrected for chance agreement, with a wide
    margin, and then on the full sets.
 """
 
@@ -32,6 +36,8 @@ from .shared import materialize
 from .shingles import band_keys, estimated_similarity, shingle_sets, signatures
 
 _PIECE_BYTES = 2_000_000
+#: Counters that order shingles by frequency; a fixed size, whatever the corpus.
+ORDER_SLOTS = 1 << 18
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -76,6 +82,37 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(ORDER_SLOTS, np.int64)
+    for batch in batches:
+        for members in batch.column(0).to_pylist():
+            counts += np.bincount((np.frombuffer(members, np.uint64) % ORDER_SLOTS).astype(np.int64), minlength=ORDER_SLOTS)
+    slots = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
+
+
+def _prefixes(percent: int, counts):
+    """Each set's first shingles in the order of the counts of their slots, then of the shingles themselves."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            out = [[], [], [], []]
+            for k, members in enumerate(batch.column("members").to_pylist()):
+                x = np.frombuffer(members, np.uint64)
+                first = np.lexsort((x, table[(x % ORDER_SLOTS).astype(np.int64)]))[: len(x) * (100 - percent) // 100 + 1]
+                for column, values in zip(out, (np.full(len(first), k), x[first], np.arange(len(first)), np.full(len(first), len(x))), strict=True):
+                    column.append(values)
+            if not out[0]:
+                continue
+            row, shingle, place, n = map(np.concatenate, out)
+            row = pa.array(row)
+            columns = [batch.column("id").take(row), batch.column("comp").take(row), pa.array(shingle.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(n)], ["id", "comp", "shingle", "place", "n"])
+
+    return prefixes
+
+
 def _check(percent: int, margin: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,18 +195,28 @@ def near_duplicates(
     first = shared.groupBy("id").agg(F.min("centre").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     links = verified(first)
     comps = joined(comps, links) if not links.isEmpty() else comps
-    for last in (False, True):
-        rows, bands = mixed(comps)
-        if bands.isEmpty():
-            break
-        if last:
-            left = materialize(rows.join(bands.select("band"), "band"), "near-left")
-            right = left.select("band", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = left.withColumnRenamed("id", "a").join(right, "band").where("comp < cb").select("a", "b")
-        else:
-            pairs = rows.join(bands, "band").where("comp <> ccomp").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    rows, bands = mixed(comps)
+    if not bands.isEmpty():
+        pairs = rows.join(bands, "band").where("comp <> ccomp").select(F.col("id").alias("a"), F.col("centre").alias("b"))
         links = verified(materialize(pairs.distinct(), "near-pairs"))
         comps = joined(comps, links) if not links.isEmpty() else comps
+        rows, bands = mixed(comps)
+    if not bands.isEmpty():
+        left = materialize(rows.join(bands.select("band"), "band").select("id", "comp").distinct(), "near-left")
+        sets = full.select("id", "members").join(left, "id")
+        slots = sets.select("members").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        table = np.zeros(ORDER_SLOTS, np.int64)
+        got = slots.toPandas()  # at most ORDER_SLOTS rows
+        table[got["slot"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+        counts = docs.sparkSession.sparkContext.broadcast(table)
+        kinds = f"id {kind}, comp {kind}, shingle long, place long, n long"
+        heads = materialize(sets.mapInArrow(_prefixes(percent, counts), kinds), "near-prefixes")
+        a, b = heads.alias("a"), heads.alias("b")
+        rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+        enough = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
+        pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")) & enough)
+        links = verified(materialize(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "near-pairs"))
+        comps = joined(comps, links) if not links.isEmpty() else comps
 
     found = members.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "id", "n", F.coalesce("comp", "rep").alias("comp")
