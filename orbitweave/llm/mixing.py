@@ -52,9 +52,10 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, total: float, max_epochs
     ``weights`` has a leaf's target weight; a leaf without one gets 0, and a null or
     negative weight counts as 0. A node's weight is the sum over its leaves.
     """
-    known = weights.groupBy(*LEVELS).agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
-    same = [leaves[c].eqNullSafe(known[c]) for c in LEVELS]
-    rows = leaves.join(known, same, "left").select(*(leaves[c] for c in LEVELS), "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    key = _leaf(*(_named(c) for c in LEVELS))
+    known = weights.select(key.alias("leaf"), F.greatest("weight", F.lit(0.0)).alias("weight")).groupBy("leaf").agg(F.sum("weight").alias("weight"))
+    rows = leaves.select(*LEVELS, "tokens", key.alias("leaf")).join(known, "leaf", "left")
+    rows = rows.select(*LEVELS, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     rows = rows.withColumn("room", F.when(F.col("weight") > 0, F.col("tokens") * float(max_epochs)).otherwise(0.0))
     keys = [f"{c}_key" for c in LEVELS]
     for c, key in zip(LEVELS, keys, strict=True):
