@@ -22,19 +22,26 @@ from orbitweave.llm.shared import materialize
 
 
 def _rows_of(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``decided``'s; the id has few rows on either side."""
-    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose id, or missing id, is among ``decided``'s."""
+    ids = decided.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject; rows without an id stay or go together."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _rows_of(docs, scores.where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
-    return _rows_of(docs, exact_dedup(docs).where("kept"))
+    """One document of each group of equal texts, the one with the largest id, and one row of it."""
+    kept = exact_dedup(docs).where("kept")
+    rows = _rows_of(docs, kept)
+    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return rows
+    twice = _rows_of(rows, repeated).dropDuplicates(["doc_id", "text"])
+    return rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_anti").select(*docs.columns).unionByName(twice)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
