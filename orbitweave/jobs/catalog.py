@@ -1,6 +1,6 @@
 """All registered queries: importing this module fills the registry."""
 
-from orbitweave.jobs import estimation, fits, planning, preparation
+from orbitweave.jobs import epochs, estimation, fits, planning, preparation
 from orbitweave.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "estimation", "fits", "planning", "preparation"]
+__all__ = ["ORACLES", "QUERIES", "epochs", "estimation", "fits", "planning", "preparation"]
