@@ -33,6 +33,25 @@ from .shingles import mix
 _LEFT, _RIGHT, _SINGLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones, and so on: runs that compress on the way."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _values(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(ascending: np.ndarray) -> bytes:
+    """Ascending hashes by their differences."""
+    return _planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _ascending(steps: bytes) -> np.ndarray:
+    return np.cumsum(_values(steps, "<u8"), dtype=np.uint64)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], batch_words: int) -> Iterator[pa.RecordBatch]:
     """Rows (batch, ids, lengths, vocabulary, codes, words) from (id, text as binary)."""
     task, number = TaskContext.get().partitionId(), 0
@@ -48,7 +67,7 @@ def _batches(batches: Iterator[pa.RecordBatch], batch_words: int) -> Iterator[pa
                 pa.array([ids]),
                 pa.array([[len(w) for w in split]], pa.list_(pa.int64())),
                 pa.array([hashes.tobytes()], pa.binary()),
-                pa.array([coded.indices.to_numpy().astype("<i4").tobytes()], pa.binary()),
+                pa.array([_planes(coded.indices.to_numpy().astype("<i4"))], pa.binary()),
                 pa.array([len(flat)], pa.int64()),
             ],
             ["batch", "ids", "lengths", "vocabulary", "codes", "words"],
@@ -68,7 +87,7 @@ def _batches(batches: Iterator[pa.RecordBatch], batch_words: int) -> Iterator[pa
 
 def _ngrams(vocabulary: bytes, codes: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, hash of each pair starting at a word, whether that pair lies in one document)."""
-    words = np.frombuffer(vocabulary, np.uint64)[np.frombuffer(codes, "<i4")]
+    words = np.frombuffer(vocabulary, np.uint64)[_values(codes, "<i4")]
     pairs = mix(words[:-1] * _LEFT + words[1:] * _RIGHT) if len(words) else words
     inside = np.ones(max(0, len(words) - 1), bool)
     ends = np.cumsum(lengths)[:-1]
@@ -94,8 +113,8 @@ def _asked(row_batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
                     [
                         pa.array(part[cuts]),
                         pa.array([row["batch"]] * len(cuts), pa.int64()),
-                        pa.array([grams[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                        pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                        pa.array([_steps(grams[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                        pa.array([_planes(counts[a:b].astype("<u4")) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
                     ],
                     ["part", "batch", "grams", "counts"],
                 )
@@ -103,12 +122,12 @@ def _asked(row_batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     """Totals of a part's n-grams, in the order in which each batch asked."""
-    grams = [np.frombuffer(g, np.uint64) for g in asked["grams"]]
+    grams = [_ascending(g) for g in asked["grams"]]
     table, place = np.unique(np.concatenate(grams), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, "<u4") for c in asked["counts"]])
+    counts = np.concatenate([_values(c, "<u4") for c in asked["counts"]])
     totals = np.bincount(place, counts, len(table)).astype("<i8")[place]
     ends = np.cumsum([len(g) for g in grams])[:-1]
-    return pd.DataFrame({"batch": asked["batch"], "part": asked["part"], "totals": [t.tobytes() for t in np.split(totals, ends)]})
+    return pd.DataFrame({"batch": asked["batch"], "part": asked["part"], "totals": [_planes(t) for t in np.split(totals, ends)]})
 
 
 def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float) -> pd.DataFrame:
@@ -120,7 +139,8 @@ def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float)
         n = len(words)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         known = np.unique(np.concatenate([words, pairs[inside]]))
-        counts = np.frombuffer(b"".join(answers.sort_values("part")["totals"]), "<i8")
+        totals = [_values(t, "<i8") for t in answers.sort_values("part")["totals"]]
+        counts = np.concatenate([np.zeros(0, np.int64), *totals])
 
         def elsewhere(grams: np.ndarray, of: np.ndarray, known: np.ndarray = known, counts: np.ndarray = counts) -> np.ndarray:
             """Count of each n-gram over all documents but its own."""
