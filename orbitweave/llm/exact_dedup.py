@@ -86,6 +86,8 @@ def exact_dedup(
     pending, link = looked.where("n > 1"), 1
     while True:
         first = pending.where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("h").agg(F.max("text").alias("first_text"))
+        # As a table of its own, so that the join can split a key with many copies.
+        first = materialize(first, f"dedup-first{link}")
         met = materialize(
             pending.join(first, "h").select(
                 "id", "h", "bucket", "keep", "n", "sha", (F.col("text") == F.col("first_text")).alias("same"),
