@@ -24,146 +24,162 @@ import numpy as np
 
 MAGIC, VERSION = 0x44495457, 1
 #: Bits of a coding total, of an order-0 table, and of a context table.
-TOTAL_BITS, TABLE_BITS, CONTEXT_BITS = 16, 12, 12
-TOTAL = 1 << TOTAL_BITS
-REBUILD = 64
+TOTAL_BITS, TABLE_BITS, CONTEXT_BITS = 16, 12, 10
+TOTAL, TABLE = 1 << TOTAL_BITS, 1 << TABLE_BITS
+#: Order-0 tables are rebuilt at steps 16, 32, 64 and so on, and every so many steps.
+REBUILD = 256
 _FULL = np.int64(1) << 48
 _LOW32 = np.int64((1 << 32) - 1)
+_HASH = 0xFFFFFFFF
 
 
 def block_size(ids: int) -> int:
     """Ids in a block: fewer in small segments, so that enough blocks run side by side."""
-    return max(256, min(4096, ids // 1024))
+    return max(256, min(4096, ids // 4096))
+
+
+def _rebuilds(t: int) -> bool:
+    return t >= 16 and (t % REBUILD == 0 or t < REBUILD and t & (t - 1) == 0)
 
 
 class _Model:
-    """The predictions of every lane."""
+    """The predictions of every lane; lanes keep their tables one after another."""
 
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.two = np.zeros(lanes << CONTEXT_BITS, np.int64)  # id * 16 + confidence
-        self.one = np.zeros(lanes << CONTEXT_BITS, np.int64)
-        self.rate_two = np.full(lanes * 16, TOTAL // 2, np.int64)
-        self.rate_one = np.full(lanes * 16, TOTAL // 4, np.int64)
-        self.counts = np.ones((2, lanes, 256), np.int64)
-        self.cum = np.zeros((2, lanes, 257), np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
+    def __init__(self, lanes: int, decoding: bool):
+        lane = np.arange(lanes, dtype=np.int64)
+        self.context, self.by16, self.by256, self.by257 = lane << CONTEXT_BITS, lane * 16, lane * 256, lane * 257
+        self.by_table = lane * TABLE
+        self.two = np.zeros(lanes << CONTEXT_BITS, np.int32)  # id * 16 + confidence; 0: nothing yet
+        self.one = np.zeros(lanes << CONTEXT_BITS, np.int32)
+        # No confidence, no share: entry 0 of each lane stays 0.
+        self.rate_two = np.full((lanes, 16), TOTAL // 2, np.int64)
+        self.rate_one = np.full((lanes, 16), TOTAL // 4, np.int64)
+        self.rate_two[:, 0] = self.rate_one[:, 0] = 0
+        self.rate_two, self.rate_one = self.rate_two.ravel(), self.rate_one.ravel()
+        self.counts = [np.ones(lanes * 256, np.int32) for _ in range(2)]
+        self.cum = [np.zeros(lanes * 257, np.int32) for _ in range(2)]
+        self.symbols = [np.zeros(lanes * TABLE, np.uint8) for _ in range(2)] if decoding else None
+        self.bytes = np.tile(np.arange(256, dtype=np.uint8), lanes)
+        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.rebuild(lanes)
 
     def rebuild(self, n: int) -> None:
-        """Order-0 tables from the counts so far; every byte keeps a share."""
+        """Order-0 tables from the counts so far; every byte keeps a share, and shares fill the table."""
         for k in (0, 1):
-            counts = self.counts[k, :n]
-            share = 1 + counts * ((1 << TABLE_BITS) - 256) // counts.sum(axis=1, keepdims=True)
-            np.cumsum(share, axis=1, out=self.cum[k, :n, 1:])
+            counts = self.counts[k][: n * 256].reshape(n, 256)
+            share = 1 + counts * np.int32(TABLE - 256) // counts.sum(axis=1, keepdims=True, dtype=np.int32)
+            share[:, 255] += TABLE - share.sum(axis=1, dtype=np.int32)
+            np.cumsum(share, axis=1, out=self.cum[k][: n * 257].reshape(n, 257)[:, 1:])
+            if self.symbols is not None:
+                self.symbols[k][: n * TABLE] = np.repeat(self.bytes[: n * 256], share.ravel())
 
     def predict(self, n: int) -> None:
         """Look up the contexts of the first ``n`` lanes; sets ids, confidences and shares."""
-        lane = self.base[:n]
-        before, last = self.last[0, :n], self.last[1, :n]
-        slot = (last * 40503 + before * 30011) & 0xFFFFFF
-        self.at_two = (lane << CONTEXT_BITS) | ((slot ^ (slot >> 12)) & ((1 << CONTEXT_BITS) - 1))
-        self.at_one = (lane << CONTEXT_BITS) | ((last * 40503 >> 4) & ((1 << CONTEXT_BITS) - 1))
-        two, one = self.two[self.at_two], self.one[self.at_one]
-        self.id_two, c_two = two >> 4, two & 15
-        self.id_one, c_one = one >> 4, one & 15
-        self.at_rate_two, self.at_rate_one = lane * 16 + c_two, lane * 16 + c_one
-        self.has_two = c_two > 0
-        self.has_one = (c_one > 0) & ~(self.has_two & (self.id_one == self.id_two))
-        self.c_two, self.c_one = c_two, c_one
-        self.share_two = np.where(self.has_two, self.rate_two[self.at_rate_two] * 3 >> 2, 0)
-        left = TOTAL - self.share_two
-        self.share_one = np.where(self.has_one, (self.rate_one[self.at_rate_one] * left >> TOTAL_BITS) * 3 >> 2, 0)
+        last = self.last[:n] * 2654435761
+        self.at_one = self.context[:n] + ((last & _HASH) >> (32 - CONTEXT_BITS))
+        self.at_two = self.context[:n] + ((last + self.before[:n] * 2246822519 & _HASH) >> (32 - CONTEXT_BITS))
+        two, one = self.two.take(self.at_two), self.one.take(self.at_one)
+        self.id_two, self.id_one = two >> 4, one >> 4
+        self.c_two, self.c_one = two & 15, one & 15
+        self.at_rate_two, self.at_rate_one = self.by16[:n] + self.c_two, self.by16[:n] + self.c_one
+        self.r_two, self.r_one = self.rate_two.take(self.at_rate_two), self.rate_one.take(self.at_rate_one)
+        self.apart = (self.id_one != self.id_two) | (self.c_two == 0)
+        self.share_two = self.r_two * 3 >> 2
+        self.share_one = (self.r_one * (TOTAL - self.share_two) * self.apart >> TOTAL_BITS) * 3 >> 2
         self.taken = self.share_two + self.share_one
         self.left = TOTAL - self.taken
 
-    def learn(self, n: int, ids: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
-        """Adapt the first ``n`` lanes to their ids."""
-        rate = self.rate_two[self.at_rate_two]
-        self.rate_two[self.at_rate_two] = np.where(self.has_two, rate + ((np.where(hit_two, TOTAL - 64, 64) - rate) >> 4), rate)
-        rate = self.rate_one[self.at_rate_one]
-        tried = self.has_one & ~hit_two
-        self.rate_one[self.at_rate_one] = np.where(tried, rate + ((np.where(hit_one, TOTAL - 64, 64) - rate) >> 4), rate)
+    def learn(self, n: int, ids: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray, literal: np.ndarray) -> None:
+        """Adapt the first ``n`` lanes to their ids; ``literal`` are the lanes without a hit."""
+        target = hit_two * (TOTAL - 128) + 64
+        self.rate_two[self.at_rate_two] = self.r_two + ((target - self.r_two) * (self.c_two > 0) >> 4)
+        target = hit_one * (TOTAL - 128) + 64
+        tried = (self.share_one > 0) & ~hit_two
+        self.rate_one[self.at_rate_one] = self.r_one + ((target - self.r_one) * tried >> 4)
         new = ids << 4
-        self.two[self.at_two] = new | np.where(hit_two, np.minimum(self.c_two + 1, 15), 1)
-        kept = (self.c_one > 0) & (self.id_one == ids)
-        self.one[self.at_one] = new | np.where(kept, np.minimum(self.c_one + 1, 15), 1)
-        literal = ~(hit_two | hit_one)
-        lane = self.base[:n][literal]
-        seen = ids[literal]
-        self.counts[0, lane, seen >> 8] += 24
-        self.counts[1, lane, seen & 255] += 24
-        self.last[0, :n] = self.last[1, :n]
-        self.last[1, :n] = ids
+        self.two[self.at_two] = new + np.where(hit_two, np.minimum(self.c_two + 1, 15), 1)
+        kept = (self.id_one == ids) & (self.c_one > 0)
+        self.one[self.at_one] = new + np.where(kept, np.minimum(self.c_one + 1, 15), 1)
+        seen, lane = ids[literal], self.by256[literal]
+        self.counts[0][lane + (seen >> 8)] += 24
+        self.counts[1][lane + (seen & 255)] += 24
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
 
 
-def _lanes(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as (block, place), the last block padded, and the lengths; all but the last are full."""
+def _lanes(ids: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Ids as (block, place), the last block padded, and its length; all others are full."""
     blocks = -(-len(ids) // size)
     grid = np.zeros((blocks, size), np.int64)
     grid.ravel()[: len(ids)] = ids
-    lengths = np.full(blocks, size)
-    if blocks:
-        lengths[-1] = len(ids) - size * (blocks - 1)
-    return grid, lengths
+    return grid, len(ids) - size * (blocks - 1)
 
 
 def encode_blocks(ids: np.ndarray, size: int) -> list[bytes]:
     """The coded words of each block of ``ids`` (below 65,536)."""
-    grid, lengths = _lanes(ids, size)
+    grid, last = _lanes(ids, size)
     lanes = len(grid)
     if not lanes:
         return []
     columns = np.ascontiguousarray(grid.T)
-    model = _Model(lanes)
+    model = _Model(lanes, decoding=False)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
-    out = np.zeros((lanes, 2 * size + 8), np.uint16)
-    at = np.zeros(lanes, np.int64)
+    width = 2 * size + 8
+    out = np.zeros(lanes * width, np.uint16)
+    at = np.arange(lanes, dtype=np.int64) * width
 
-    def code(n: int, start: np.ndarray, share: np.ndarray) -> None:
-        unit = span[:n] >> TOTAL_BITS
-        low[:n] += unit * start
-        span[:n] = unit * share
-        over = np.flatnonzero(low[:n] >= _FULL)
+    def settle() -> None:
+        """Carry into words that are out, and move the top word of each narrow range out."""
+        over = np.flatnonzero(low >= _FULL)
         if len(over):
             low[over] -= _FULL
             place = at[over] - 1
-            while len(over):
-                out[over, place] += 1  # wraps from 65,535 to 0
-                more = out[over, place] == 0
-                over, place = over[more], place[more] - 1
-        short = np.flatnonzero(span[:n] < (1 << 32))
+            while len(place):
+                out[place] += 1  # wraps from 65,535 to 0
+                place = place[out[place] == 0] - 1
+        short = np.flatnonzero(span < (1 << 32))
         if len(short):
-            out[short, at[short]] = low[short] >> 32
-            at[short] += 1
-            low[short] = (low[short] & _LOW32) << 16
+            value = low.take(short)
+            place = at.take(short)
+            out[place] = value >> 32
+            at[short] = place + 1
+            low[short] = (value & _LOW32) << 16
             span[short] <<= 16
 
     for t in range(size):
-        n = lanes if t < lengths[-1] else lanes - 1
+        n = lanes if t < last else lanes - 1
         if not n:
             break
-        if t and t % REBUILD == 0:
+        if _rebuilds(t):
             model.rebuild(n)
         x = columns[t, :n]
         model.predict(n)
-        hit_two = model.has_two & (model.id_two == x)
-        hit_one = model.has_one & (model.id_one == x) & ~hit_two
-        hit = hit_two | hit_one
-        high, lane = x >> 8, model.base[:n]
-        a = model.taken + (model.left * model.cum[0, lane, high] >> TABLE_BITS)
-        b = model.taken + (model.left * model.cum[0, lane, high + 1] >> TABLE_BITS)
-        start = np.where(hit, np.where(hit_two, 0, model.share_two), a)
-        code(n, start, np.where(hit_two, model.share_two, np.where(hit_one, model.share_one, b - a)))
-        a = model.cum[1, lane, x & 255] << (TOTAL_BITS - TABLE_BITS)
-        b = model.cum[1, lane, (x & 255) + 1] << (TOTAL_BITS - TABLE_BITS)
-        code(n, np.where(hit, 0, a), np.where(hit, TOTAL, b - a))
-        model.learn(n, x, hit_two, hit_one)
-    lane = np.arange(lanes)
+        hit_two = (model.id_two == x) & (model.c_two > 0)
+        hit_one = (model.id_one == x) & (model.share_one > 0) & ~hit_two
+        literal = np.flatnonzero(~(hit_two | hit_one))
+        start = model.share_two * hit_one
+        share = model.share_two * hit_two + model.share_one * hit_one
+        rare = x.take(literal)
+        slot = model.by257.take(literal) + (rare >> 8)
+        taken, left = model.taken.take(literal), model.left.take(literal)
+        a = left * model.cum[0].take(slot) >> TABLE_BITS
+        start[literal] = taken + a
+        share[literal] = (left * model.cum[0].take(slot + 1) >> TABLE_BITS) - a
+        unit = span[:n] >> TOTAL_BITS
+        low[:n] += unit * start
+        span[:n] = unit * share
+        settle()
+        slot = model.by257.take(literal) + (rare & 255)
+        a = model.cum[1].take(slot)
+        unit = span.take(literal) >> TABLE_BITS
+        low[literal] += unit * a
+        span[literal] = unit * (model.cum[1].take(slot + 1) - a)
+        settle()
+        model.learn(n, x, hit_two, hit_one, literal)
     for shift in (32, 16, 0):
-        out[lane, at] = (low >> shift) & 0xFFFF
+        out[at] = (low >> shift) & 0xFFFF
         at += 1
-    return [out[k, : at[k]].astype("<u2").tobytes() for k in range(lanes)]
+    return [out[k * width : at[k]].astype("<u2").tobytes() for k in range(lanes)]
 
 
 def decode_blocks(words: list[bytes], ids: int, size: int) -> np.ndarray:
@@ -172,62 +188,62 @@ def decode_blocks(words: list[bytes], ids: int, size: int) -> np.ndarray:
     if not lanes:
         return np.zeros(0, np.int64)
     last = ids - size * (lanes - 1)
-    longest = max(map(len, words)) // 2
-    read = np.zeros((lanes, longest + 4), np.int64)
-    for k, w in enumerate(words):
-        read[k, : len(w) // 2] = np.frombuffer(w, "<u2")
-    model = _Model(lanes)
-    ahead = (read[:, 0] << 32) | (read[:, 1] << 16) | read[:, 2]
+    lengths = np.array([len(w) // 2 for w in words], np.int64)
+    read = np.concatenate([np.frombuffer(b"".join(words), "<u2"), np.zeros(4, np.uint16)])
+    at = np.cumsum(lengths) - lengths
+    model = _Model(lanes, decoding=True)
+    ahead = (read[at].astype(np.int64) << 32) | (read[at + 1].astype(np.int64) << 16) | read[at + 2]
     span = np.full(lanes, _FULL - 1, np.int64)
-    at = np.full(lanes, 3, np.int64)
+    at += 3
     columns = np.zeros((size, lanes), np.int64)
 
-    def take(n: int, unit: np.ndarray, start: np.ndarray, share: np.ndarray) -> None:
-        ahead[:n] -= unit * start
-        span[:n] = unit * share
-        short = np.flatnonzero(span[:n] < (1 << 32))
+    def refill() -> None:
+        short = np.flatnonzero(span < (1 << 32))
         if len(short):
-            ahead[short] = (ahead[short] << 16) | read[short, np.minimum(at[short], longest + 3)]
-            at[short] += 1
+            place = at.take(short)
+            ahead[short] = (ahead.take(short) << 16) | read.take(place, mode="clip")
+            at[short] = place + 1
             span[short] <<= 16
 
-    def search(table: np.ndarray, n: int, wanted: np.ndarray) -> np.ndarray:
-        """The byte whose table interval holds ``wanted``, in units of the table."""
-        flat, lane = table.ravel(), model.base[:n] * 257
-        found = np.zeros(n, np.int64)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            found += step * (flat[lane + found + step] <= wanted)
-        return found
-
     for t in range(size):
         n = lanes if t < last else lanes - 1
         if not n:
             break
-        if t and t % REBUILD == 0:
+        if _rebuilds(t):
             model.rebuild(n)
         model.predict(n)
         unit = span[:n] >> TOTAL_BITS
         mark = np.minimum(ahead[:n] // unit, TOTAL - 1)
         hit_two = mark < model.share_two
-        hit_one = ~hit_two & (mark < model.taken)
-        hit = hit_two | hit_one
-        lane = model.base[:n]
+        hit_one = (mark < model.taken) & ~hit_two
+        literal = np.flatnonzero(mark >= model.taken)
+        start = model.share_two * hit_one
+        share = model.share_two * hit_two + model.share_one * hit_one
+        taken, left = model.taken.take(literal), model.left.take(literal)
         # The last table entry whose scaled start is at most the mark.
-        inside = ((np.maximum(mark - model.taken, 0) + 1) << TABLE_BITS) - 1
-        high = np.where(hit, 0, search(model.cum[0], n, inside // np.maximum(model.left, 1)))
-        a = model.taken + (model.left * model.cum[0, lane, high] >> TABLE_BITS)
-        b = model.taken + (model.left * model.cum[0, lane, high + 1] >> TABLE_BITS)
-        start = np.where(hit, np.where(hit_two, 0, model.share_two), a)
-        take(n, unit, start, np.where(hit_two, model.share_two, np.where(hit_one, model.share_one, b - a)))
-        unit = span[:n] >> TOTAL_BITS
-        mark = np.minimum(ahead[:n] // unit, TOTAL - 1)
-        byte = search(model.cum[1], n, np.where(hit, 0, mark) >> (TOTAL_BITS - TABLE_BITS))
-        a = model.cum[1, lane, byte] << (TOTAL_BITS - TABLE_BITS)
-        b = model.cum[1, lane, byte + 1] << (TOTAL_BITS - TABLE_BITS)
-        take(n, unit, np.where(hit, 0, a), np.where(hit, TOTAL, b - a))
-        x = np.where(hit_two, model.id_two, np.where(hit_one, model.id_one, (high << 8) | byte))
+        entry = (((mark.take(literal) - taken + 1) << TABLE_BITS) - 1) // left
+        lane257, table = model.by257.take(literal), model.by_table.take(literal)
+        high = model.symbols[0].take(table + entry).astype(np.int64)
+        slot = lane257 + high
+        a = left * model.cum[0].take(slot) >> TABLE_BITS
+        start[literal] = taken + a
+        share[literal] = (left * model.cum[0].take(slot + 1) >> TABLE_BITS) - a
+        ahead[:n] -= unit * start
+        span[:n] = unit * share
+        refill()
+        wide = span.take(literal) >> TABLE_BITS
+        near = ahead.take(literal)
+        entry = np.minimum(near // wide, TABLE - 1)
+        byte = model.symbols[1].take(table + entry).astype(np.int64)
+        slot = lane257 + byte
+        a = model.cum[1].take(slot)
+        ahead[literal] = near - wide * a
+        span[literal] = wide * (model.cum[1].take(slot + 1) - a)
+        refill()
+        x = np.where(hit_two, model.id_two, model.id_one).astype(np.int64)
+        x[literal] = (high << 8) | byte
         columns[t, :n] = x
-        model.learn(n, x, hit_two, hit_one)
+        model.learn(n, x, hit_two, hit_one, literal)
     return np.ascontiguousarray(columns.T).ravel()[:ids]
 
 

@@ -26,7 +26,7 @@ _PIECE_DOCS = 256
 
 def write_token_files(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-    end_id: int = 1, segment_ids: int = 2_000_000,
+    end_id: int = 1, segment_ids: int = 4_000_000,
 ) -> DataFrame:
     """Write all documents with an integer id; returns the written table (shard, segment, before, n_ids, data).
 
