@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import __spark_entry__
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ORACLES = __spark_entry__.oracle_sql()
-QUERIES = {k: q for k, q in __spark_entry__.queries().items() if not k.startswith("op") and k != "pipeline"}
+QUERIES = {k: q for k, q in __spark_entry__.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
 
 
 @pytest.fixture(scope="module")
