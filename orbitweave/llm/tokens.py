@@ -11,7 +11,8 @@ import os
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_WORDS: dict[str, dict[bytes, bytes]] = {}
+#: By tokenizer file: the words met lately, and those met before them.
+_WORDS: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 _LOADED: dict[str, object] = {}
 _KEEP_WORDS = 600_000
 
@@ -36,19 +37,23 @@ def encode_words(texts: list[bytes | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each UTF-8 text; null counts as empty.
 
     Only for tokenizers whose pre-tokenizer never joins characters across ASCII
-    white space and drops it. At most ``_KEEP_WORDS`` words are remembered, then
-    the memory starts afresh.
+    white space and drops it. Once ``_KEEP_WORDS`` words were met, those not met
+    again while as many others come are forgotten.
     """
     import numpy as np
 
-    known = _WORDS.setdefault(path, {})
+    known, older = _WORDS.setdefault(path, ({}, {}))
     if len(known) > _KEEP_WORDS:
-        known.clear()
+        known, older = _WORDS[path] = ({}, known)
     split = [(t or b"").split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
+    new = set().union(*split).difference(known)
+    again = new.intersection(older)
+    for word in again:
+        known[word] = older[word]
+    new = list(new - again)
     if new:
         tokenizer = load(path)
         decoded = [w.decode("utf-8", "replace") for w in new]
         for word, e in zip(new, tokenizer.encode_batch_fast(decoded, add_special_tokens=False), strict=True):
             known[word] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
