@@ -164,7 +164,7 @@ def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float)
 
 def backoff_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4,
-    batch_words: int = 2_000_000, part_ngrams: int = 1_000_000,
+    batch_words: int = 1_200_000, part_ngrams: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: id, n_words, score (sum of natural logs), mean_score.
 
