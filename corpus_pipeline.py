@@ -20,6 +20,9 @@ from orbitweave.llm.quality import quality_scores
 from orbitweave.llm.recipes import MIX_SHARE, domain_of, source_weights
 from orbitweave.llm.shared import materialize
 
+#: Least share of shingles, in a hundred of the union, that makes two documents near duplicates here.
+NEAR_PERCENT = 80
+
 
 def _rows_of(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id, or missing id, is among ``decided``'s."""
@@ -45,8 +48,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    return _rows_of(docs, near_duplicates(docs).where("kept"))
+    """One document of each group of near duplicates, the one with the smallest id; similarity is 0.8 or more."""
+    return _rows_of(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

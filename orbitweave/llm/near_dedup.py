@@ -4,9 +4,9 @@
    one class at once, however many there are; from here on only the class's
    smallest document takes part.
 2. A class's compressed registers (leading-zero count and mantissa bits of each
-   bucket's smallest hash) are cut into bands. Sets of at most five shingles reach
-   the threshold only when equal, so they have no bands. Two sets of similarity
-   0.85 miss each other in all 26 bands with probability 5e-6.
+   bucket's smallest hash) are cut into bands. Sets of at most three shingles are
+   similar by 0.8 only when equal, so they have no bands. Two sets of similarity 0.8
+   miss each other in all 35 bands with probability 9e-7, of 0.85 with 1e-9.
 3. Classes that share a band are compared in rounds, each followed by joining
    components: with the smallest centre of their bands, then with a centre of every
    band that still holds several components. So a group of thousands of alike texts
@@ -136,19 +136,20 @@ def _check(percent: int, margin: float):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, margin: float = 0.6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, margin: float | None = None
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Documents are linked where their sets share at least ``percent`` in a hundred of
-    their union (85 or more: bands and size classes are laid out for that).
-    ``margin`` is the least estimate that is worth the full check, eight standard
-    errors below 0.85. Null and empty texts have an empty set and are linked with
+    their union (80 or more: bands and size classes are laid out for that).
+    ``margin`` is the least estimate that is worth the full check; by default it is
+    0.25 below the threshold, eight standard errors at 0.8. Null and empty texts have an empty set and are linked with
     nothing; a null id is in no component but its own and kept; repeated rows of an
     id share its component and are all kept if it is; other columns are ignored.
     """
-    if percent < 85:
-        raise ValueError("bands and size classes are laid out for a percentage of 85 or more")
+    if percent < 80:
+        raise ValueError("bands and size classes are laid out for a percentage of 80 or more")
+    margin = percent / 100 - 0.25 if margin is None else margin
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialize(texts.mapInArrow(_sign, f"id {kind}, n long, key binary, bands array<long>"), "near-signatures")

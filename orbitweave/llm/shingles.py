@@ -10,11 +10,12 @@ import xxhash
 
 SHINGLE_WORDS = 5
 #: Registers of a signature, registers in a band, and mantissa bits of a register.
-REGISTERS, BAND_ROWS, MANTISSA = 156, 6, 10
+REGISTERS, BAND_ROWS, MANTISSA = 175, 5, 10
 BANDS = REGISTERS // BAND_ROWS
 #: Size classes: name, smallest and largest set, hash functions. Neighbours overlap so
-#: far that two sets of similarity 0.85 or more always share a class.
-SIZE_CLASSES = (("small", 6, 76, REGISTERS), ("middle", 64, 603, 8), ("large", 512, 1 << 62, 1))
+#: far that two sets of similarity 0.8 or more always share a class; of smaller sets
+#: only equal ones are as similar.
+SIZE_CLASSES = (("small", 4, 80, REGISTERS), ("middle", 64, 640, 8), ("large", 512, 1 << 62, 1))
 
 _rng = np.random.default_rng(20240501)
 _WORD_FACTORS = _rng.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -22,7 +22,7 @@ from orbitweave.llm.near_dedup import near_duplicates
 from orbitweave.llm.packing import best_filling, pack, plan_windows
 from orbitweave.llm.pii import find_personal_data
 from orbitweave.llm.quality import quality_scores
-from orbitweave.llm.shingles import band_keys, shingle_sets, signatures
+from orbitweave.llm.shingles import BAND_ROWS, BANDS, SIZE_CLASSES, band_keys, shingle_sets, signatures
 from orbitweave.llm.threshold_topk import top_inner_products
 from orbitweave.llm.token_files import read_token_files, write_token_files
 from orbitweave.llm.tokens import default_tokenizer, encode_words, load
@@ -91,7 +91,7 @@ def test_directory_splits_overfull_buckets(spark):
 # --- near duplicates ------------------------------------------------------------------
 
 
-def near_expected(rows):
+def near_expected(rows, percent=85):
     lower = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
     sets = {}
     for i, t in rows:
@@ -109,7 +109,7 @@ def near_expected(rows):
     for x in ids:
         for y in ids:
             common = len(sets[x] & sets[y])
-            if x < y and common and 100 * common >= 85 * (len(sets[x]) + len(sets[y]) - common):
+            if x < y and common and 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
                 a, b = find(x), find(y)
                 parent[max(a, b)] = min(a, b)
     return sorted((i, len(sets[i]), find(i), find(i) == i) for i in sets)
@@ -150,6 +150,53 @@ def test_bands_meet_above_the_threshold():
     assert missed == 0
 
 
+def between_the_limits():
+    """Pairs of texts with similarity from 0.80 to just under 0.85, at edges of the size classes and in them."""
+    rows = [(0, "a b c d e f g h"), (1, "a b c d e f g h i")]  # 4 of 5 shingles
+    for k, size in enumerate((14, 24, 70, 83, 84, 100, 400, 643, 644, 1500)):
+        words = [f"p{k}w{j}" for j in range(size)]
+        common = size - 4
+        extra = next(x for x in range(1, size) if 100 * common < 85 * (common + x))
+        rows += [(10 + 2 * k, " ".join(words)), (11 + 2 * k, " ".join([*words, *(f"p{k}x{j}" for j in range(extra))]))]
+    words = [f"q{j}" for j in range(100)]
+    return [*rows, (50, " ".join(words)), (51, " ".join(["new" if j in (30, 70) else w for j, w in enumerate(words)]))]  # 86 of 106
+
+
+def test_near_duplicates_between_the_limits(spark):
+    rows = between_the_limits()
+    texts = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    sets = dict(zip([i for i, _ in rows], shingle_sets([t.encode() for _, t in rows]), strict=True))
+    for low in [i for i in sets if i % 2 == 0]:
+        common = len(np.intersect1d(sets[low], sets[low + 1]))
+        assert 80 <= 100 * common / (len(sets[low]) + len(sets[low + 1]) - common) < 85
+    got = {r.doc_id: r.component_id for r in near_duplicates(texts, percent=80).collect()}
+    assert got == {i: i - i % 2 for i in sets}
+    got = {r.doc_id: r.component_id for r in near_duplicates(texts, percent=85).collect()}
+    assert got == {i: i for i in sets}
+
+
+def test_near_duplicates_at_80_against_all_pairs(spark):
+    rng = random.Random(6)
+    texts = list(ODD)
+    for size in (7, 10, 30, 80, 84, 130, 640, 900):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(size)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, size // 45])):
+                words[rng.randrange(size)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    got = near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows]), percent=80).collect()
+    assert sorted(map(tuple, got)) == near_expected(rows, 80)
+
+
+def test_size_classes_and_bands_reach_to_80():
+    for n in range(4, 3000):
+        other = n * 100 // 80
+        assert any(low <= n < high and low <= other < high for _, low, high, _ in SIZE_CLASSES)
+    assert (1 - 0.8**BAND_ROWS) ** BANDS < 1e-6
+
+
 def test_short_texts_are_one_shingle():
     assert [len(s) for s in shingle_sets([None, b"", b" \n", b"a", b"a b c d", b"a b c d e", b"a b c d e f"])] == [0, 0, 0, 1, 1, 1, 2]
 

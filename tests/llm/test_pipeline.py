@@ -61,6 +61,14 @@ def test_stages_keep_what_they_should(spark, folder):
     assert mixed.columns == docs.columns and 0 < mixed.count() <= len(once)
 
 
+def test_near_dedup_stage_links_from_80(spark, folder):
+    words = [f"q{j}" for j in range(100)]
+    other = ["new" if j in (30, 70) else w for j, w in enumerate(words)]  # 86 of 106 shingles, 0.81
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(other), "en", "a", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, folder).collect()] == [1]
+
+
 def test_run_gives_whole_documents(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     sums = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
