@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave.llm.exact_dedup import exact_dedup
@@ -24,32 +24,59 @@ from orbitweave.llm.shared import materialize
 NEAR_PERCENT = 80
 
 
-def _rows_of(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id, or missing id, is among ``decided``'s."""
-    ids = decided.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids.kept_id), "left_semi").select(*docs.columns)
+#: Column that tells texts apart, next to the id; a null text counts as an empty one.
+TEXT_KEY = "text_sha256"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(TEXT_KEY, F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return left.doc_id.eqNullSafe(right.doc_id) & (left[TEXT_KEY] == right[TEXT_KEY])
+
+
+def _rows_of(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose id, or missing id, and text are together among ``decided``'s."""
+    wanted = decided.select("doc_id", TEXT_KEY).distinct()
+    return keyed.join(wanted, _same(keyed, wanted), "left_semi").select(*keyed.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; rows without an id stay or go together."""
-    scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _rows_of(docs, scores.where("predicted = 1"))
+    """Documents that the classifier does not reject."""
+    keyed = _keyed(docs)
+    scores = quality_scores(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(TEXT_KEY,))
+    return _rows_of(keyed, scores.where("predicted = 1")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest id, and one row of it."""
-    kept = exact_dedup(docs).where("kept")
-    rows = _rows_of(docs, kept)
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    kept = exact_dedup(docs).where("kept").select("doc_id", TEXT_KEY)
+    rows = _rows_of(_keyed(docs), kept)
+    repeated = kept.groupBy("doc_id", TEXT_KEY).agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return rows
-    twice = _rows_of(rows, repeated).dropDuplicates(["doc_id", "text"])
-    return rows.join(repeated, rows.doc_id.eqNullSafe(repeated.doc_id), "left_anti").select(*docs.columns).unionByName(twice)
+        return rows.select(*docs.columns)
+    twice = _rows_of(rows, repeated).dropDuplicates(["doc_id", TEXT_KEY])
+    return rows.join(repeated, _same(rows, repeated), "left_anti").unionByName(twice).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; similarity is 0.8 or more."""
-    return _rows_of(docs, near_duplicates(docs, percent=NEAR_PERCENT).where("kept"))
+    """One document of each group of near duplicates, the one with the smallest id; similarity is 0.8 or more.
+
+    Where ids are missing or stand for several rows, numbers in the order of ids, missing ones last, take their
+    place, so that every text is linked and kept for itself.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        decided = near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
+        return docs.join(decided, "doc_id", "left_semi").select(*docs.columns)
+    keyed = _keyed(docs)
+    order = keyed.select("doc_id", TEXT_KEY).distinct().orderBy(F.col("doc_id").asc_nulls_last(), TEXT_KEY)
+    # Sorted partitions are numbered in their order; written once, the numbers stay.
+    numbers = materialize(order.withColumn("row_number", F.monotonically_increasing_id()), "near-numbers")
+    rows = materialize(keyed.join(numbers, _same(keyed, numbers)).select(*(keyed[c] for c in docs.columns), "row_number"), "near-numbered")
+    decided = near_duplicates(rows, id_col="row_number", percent=NEAR_PERCENT).where("kept").select("row_number")
+    return rows.join(decided, "row_number", "left_semi").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,16 +81,19 @@ def text_statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f array<double>) for every row; other columns are ignored."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, f array<double>, columns of ``carry``) for every row; other columns are ignored."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [text_statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]], ["id", "f", *carry]
+            )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(measure, f"id {kind}, f array<double>")
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(F.col(id_col).alias("id"), text_col, *carry).mapInArrow(measure, f"id {kind}, f array<double>{carried}")
 
 
 @dataclass
@@ -148,9 +151,9 @@ def fit(
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "quality", threshold: float = 0.3, folds: int = 5,
+    label_col: str = "quality", threshold: float = 0.3, folds: int = 5, carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: id, held_out, score, predicted.
+    """One row per document: id, held_out, score, predicted, and the row's columns of ``carry``.
 
     Rows whose crc32(id as text) mod ``folds`` is 0 are held out of the fit. Null
     and empty texts are scored as empty; a null id is held out of the fit as it
@@ -158,19 +161,21 @@ def quality_scores(
     ignored. Where a class has fewer than two labelled rows every score is 0.5.
     """
     held = (F.crc32(F.col("id").cast("string").cast("binary")) % folds) == 0
-    statistics = materialize(document_statistics(docs, id_col, text_col), "quality-statistics")
+    statistics = materialize(document_statistics(docs, id_col, text_col, carry), "quality-statistics")
     model = fit(statistics.where(~held), labels, id_col, label_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             score = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["id", "score", *carry])
 
     kind = statistics.schema["id"].dataType.simpleString()
-    return statistics.mapInArrow(judge, f"id {kind}, score double").select(
+    carried = "".join(f", {c} {statistics.schema[c].dataType.simpleString()}" for c in carry)
+    return statistics.mapInArrow(judge, f"id {kind}, score double{carried}").select(
         F.col("id").alias(id_col),
         F.coalesce(held, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
+        *carry,
     )

@@ -69,6 +69,32 @@ def test_near_dedup_stage_links_from_80(spark, folder):
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame, folder).collect()] == [1]
 
 
+def test_rows_without_an_id_of_their_own_follow_their_own_decisions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    junk = " ".join(w.upper() + "!!" for w in prose(950).split())
+    rows = [
+        (None, prose(951), "en", "a", 1), (None, junk, "en", "a", 1), (7, prose(7), "en", "a", 1), (7, junk, "en", "a", 1),
+        (None, prose(0), "en", "a", 1), (None, prose(951), "en", "a", 1), (20, prose(952), "en", "a", 1), (21, prose(952), "en", "a", 1),
+        (20, prose(953), "en", "a", 1), (None, prose(953)[:-1] + " twist.", "en", "a", 1), (501, None, "en", "a", 1), (501, "", "en", "a", 1),
+    ]
+    frame = docs.where("doc_id < 7 or doc_id between 8 and 19 or doc_id between 22 and 79 or doc_id between 100 and 179")
+    frame = frame.where("doc_id <> 50").unionByName(spark.createDataFrame(rows, docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    odd = lambda df: sorted(
+        ((r.doc_id, r.text or "") for r in df.collect() if r.doc_id in (None, 0, 7, 20, 21, 501)), key=repr
+    )
+    good = stages["quality"](spark, frame, folder)
+    assert good.where(F.col("text") == junk).isEmpty()
+    assert good.where("doc_id is null").count() == 4 and good.where("doc_id = 7").count() == 1
+
+    want = {(0, prose(0)), (7, prose(7)), (None, prose(951)), (21, prose(952)), (20, prose(953)), (None, prose(953)[:-1] + " twist.")}
+    once = stages["exact_dedup"](spark, frame.where(F.col("text").isNull() | (F.col("text") != junk)), folder)
+    assert odd(once) == sorted([*want, (501, "")], key=repr)
+    some = spark.createDataFrame([r for r in once.collect() if r.doc_id in (None, 0, 7, 20, 21)], docs.schema)
+    near = stages["near_dedup"](spark, some, folder)
+    assert odd(near) == sorted(want - {(None, prose(953)[:-1] + " twist.")}, key=repr)
+
+
 def test_run_gives_whole_documents(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     sums = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
