@@ -484,6 +484,13 @@ def test_proposals_that_look_like_base_spans_are_added(spark):
     assert all(got[k].n_phone == 1 for k in range(400))
 
 
+def test_email_in_words_is_added_without_at_sign_or_dot(spark):
+    texts = [*(f"mail jane.doe@example.com now {k}" for k in range(400)), "mail jane at example.com now"]
+    got = {r.doc_id: r for r in find_personal_data(frame(spark, texts), precision=0.9).collect()}
+    assert got[400].n_added == 1 and got[400].spans == "email:5:24" and got[400].n_email == 0
+    assert all(got[k].n_added == 0 and got[k].n_email == 1 for k in range(400))
+
+
 def test_trees_separate_and_cuts_keep_precision():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     positive = np.array([10.0 if a > 1 and b > 0 else 0.0 for a, b in x])
