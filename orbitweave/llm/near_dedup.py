@@ -9,16 +9,18 @@
    miss each other in all 35 bands with probability 9e-7, of 0.85 with 1e-9.
 3. Classes that share a band are compared in rounds, each followed by joining
    components: with the smallest centre of their bands, then with a centre of every
-   band that still holds several components. So a group of thousands of alike texts
-   falls together without a list of its pairs.
+   band that still holds several components, drawn anew in each round, as long as the
+   rounds link a fair part of what they compare. So a group of thousands of alike
+   texts falls together without a list of its pairs.
 4. What is left are bands of texts that are alike but mostly below the threshold.
-   Listing their pairs would grow with the square of the band, so their sets are
-   joined by exact prefix and position filters instead: with the rarest shingles
-   first, two sets can reach the threshold only if they share one of the first ones,
-   early enough for the rest to suffice. That join finds every link between
-   components, so no candidate is lost.
-5. A pair is checked by its registers, corrected for chance agreement, with a wide
-   margin, and then on the full sets.
+   Their sets are joined by exact filters instead: with the rarest shingles first, two
+   sets can reach the threshold only if they share one of the first ones, early enough
+   for the rest to suffice, and if their parity sketches differ in no more bits than
+   the sets may differ in members. The filters stand in the join itself and never
+   refuse a link, so pairs come out of it that are linked or close to it, and not all
+   pairs of a group; a shingle of very many sets is joined in blocks.
+5. A pair is checked by its sketches, by its registers, corrected for chance agreement,
+   with a wide margin, and then on the full sets.
 """
 
 from __future__ import annotations
@@ -28,16 +30,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connect
 from .shared import materialize
-from .shingles import band_keys, estimated_similarity, shingle_sets, signatures
+from .shingles import SKETCH_WORDS, band_keys, estimated_similarity, parity_sketch, shingle_sets, signatures
 
 _PIECE_BYTES = 2_000_000
 #: Counters that order shingles by frequency; a fixed size, whatever the corpus.
 ORDER_SLOTS = 1 << 18
+#: Sets of one shingle that are compared in one block of the last join.
+BLOCK_SETS = 8192
+#: Rounds go on while they link at least one in so many pairs.
+ROUND_YIELD = 50
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -77,8 +83,9 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column(0),
                     *(pa.array([s[k] for s in signed], pa.binary()) for k in range(3)),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["id", "r0", "r1", "r2", "members"],
+                ["id", "r0", "r1", "r2", "members", "sketch"],
             )
 
 
@@ -135,6 +142,15 @@ def _check(percent: int, margin: float):
     return check
 
 
+def _can_reach(percent: int, n_a: Column, n_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """False only for two sets that differ in more members than similar ones of their sizes may."""
+    apart = F.bit_count(sketch_a[0].bitwiseXOR(sketch_b[0]))
+    for k in range(1, SKETCH_WORDS):
+        apart = apart + F.bit_count(sketch_a[k].bitwiseXOR(sketch_b[k]))
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, margin: float | None = None
 ) -> DataFrame:
@@ -163,7 +179,7 @@ def near_duplicates(
     buckets = materialize(buckets.select("band", "centre"), "near-buckets")
     shared = materialize(banded.join(buckets, "band").select("band", "id", "centre").distinct(), "near-shared")
     wanted = materialize(shared.select("id").distinct(), "near-wanted")
-    schema = f"id {kind}, r0 binary, r1 binary, r2 binary, members binary"
+    schema = f"id {kind}, r0 binary, r1 binary, r2 binary, members binary, sketch array<long>"
     full = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_full, schema), "near-sets")
 
     def side(name: str) -> DataFrame:
@@ -171,6 +187,8 @@ def near_duplicates(
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = pairs.join(side("a"), "a").join(side("b"), "b")
+        sizes = [F.length(f"{x}_members") / 8 for x in "ab"]
+        held = held.where(_can_reach(percent, *sizes, F.col("a_sketch"), F.col("b_sketch"))).drop("a_sketch", "b_sketch")
         return materialize(held.mapInArrow(_check(percent, margin), f"a {kind}, b {kind}"), "near-links")
 
     comps = wanted.select("id", F.col("id").alias("comp"))
@@ -184,24 +202,33 @@ def near_duplicates(
             "near-components",
         )
 
-    def mixed(comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def mixed(comps: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """Rows of ``shared`` with components, and the bands that still hold several, each with a centre."""
         rows = materialize(shared.select("band", "id").join(comps, "id"), "near-rows")
+        drawn = F.xxhash64("band", "id", F.lit(turn)).alias("h")
         held = rows.groupBy("band").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.min(F.struct(F.xxhash64("band", "id").alias("h"), F.col("id").alias("centre"), F.col("comp").alias("ccomp"))).alias("c"),
+            F.min(F.struct(drawn, F.col("id").alias("centre"), F.col("comp").alias("ccomp"))).alias("c"),
         )
         return rows, materialize(held.where("low < high").select("band", "c.centre", "c.ccomp"), "near-mixed")
 
     first = shared.groupBy("id").agg(F.min("centre").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     links = verified(first)
     comps = joined(comps, links) if not links.isEmpty() else comps
-    rows, bands = mixed(comps)
-    if not bands.isEmpty():
+    turn = 0
+    while True:
+        rows, bands = mixed(comps, turn)
+        if bands.isEmpty():
+            break
         pairs = rows.join(bands, "band").where("comp <> ccomp").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-        links = verified(materialize(pairs.distinct(), "near-pairs"))
-        comps = joined(comps, links) if not links.isEmpty() else comps
-        rows, bands = mixed(comps)
+        pairs = materialize(pairs.distinct(), "near-pairs")
+        links = verified(pairs)
+        found, asked = links.count(), pairs.count()
+        comps = joined(comps, links) if found else comps
+        turn += 1
+        if found * ROUND_YIELD < asked:
+            rows, bands = mixed(comps, turn) if found else (rows, bands)
+            break
     if not bands.isEmpty():
         left = materialize(rows.join(bands.select("band"), "band").select("id", "comp").distinct(), "near-left")
         sets = full.select("id", "members").join(left, "id")
@@ -212,10 +239,16 @@ def near_duplicates(
         counts = docs.sparkSession.sparkContext.broadcast(table)
         kinds = f"id {kind}, comp {kind}, shingle long, place long, n long"
         heads = materialize(sets.mapInArrow(_prefixes(percent, counts), kinds), "near-prefixes")
-        a, b = heads.alias("a"), heads.alias("b")
+        met = heads.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("sets"))
+        met = met.where("low < high").select("shingle", F.ceil(F.col("sets") / BLOCK_SETS).cast("int").alias("blocks"))
+        heads = materialize(heads.join(met, "shingle"), "near-met").join(full.select("id", "sketch"), "id")
+        a = heads.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("a")
+        b = heads.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
         rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
         enough = (100 + percent) * rest >= percent * (F.col("a.n") + F.col("b.n"))
-        pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp")) & enough)
+        near = _can_reach(percent, F.col("a.n"), F.col("b.n"), F.col("a.sketch"), F.col("b.sketch"))
+        same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.block") == F.col("b.block"))
+        pairs = a.join(b, same & (F.col("a.comp") < F.col("b.comp")) & enough & near)
         links = verified(materialize(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "near-pairs"))
         comps = joined(comps, links) if not links.isEmpty() else comps
 

@@ -15,11 +15,13 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset on a single machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        folder = _FALLBACK.setdefault(app, _FALLBACK.get(app) or tempfile.mkdtemp(prefix="spark-"))
+        folder = _FALLBACK.get(app) or _FALLBACK.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return folder.rstrip("/")
 
 

@@ -12,6 +12,8 @@ SHINGLE_WORDS = 5
 #: Registers of a signature, registers in a band, and mantissa bits of a register.
 REGISTERS, BAND_ROWS, MANTISSA = 175, 5, 10
 BANDS = REGISTERS // BAND_ROWS
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 16
 #: Size classes: name, smallest and largest set, hash functions. Neighbours overlap so
 #: far that two sets of similarity 0.8 or more always share a class; of smaller sets
 #: only equal ones are as similar.
@@ -88,6 +90,17 @@ def signatures(members: np.ndarray) -> list[np.ndarray | None]:
     return [registers(members, f) if low <= n < high else None for _, low, high, f in SIZE_CLASSES]
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of members that fall on each of 64 * ``SKETCH_WORDS`` bits, as 64-bit words.
+
+    A member that only one of two sets has turns one bit, so the sketches of two sets
+    differ in no more bits than the sets differ in members.
+    """
+    bits = SKETCH_WORDS * 64
+    counts = np.bincount((mix(members) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def band_keys(signed: list[np.ndarray | None]) -> np.ndarray:
     """A 64-bit key for each band of each signature that has a filled register."""
     keys = []

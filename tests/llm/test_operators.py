@@ -22,7 +22,7 @@ from orbitweave.llm.near_dedup import near_duplicates
 from orbitweave.llm.packing import best_filling, pack, plan_windows
 from orbitweave.llm.pii import find_personal_data
 from orbitweave.llm.quality import quality_scores
-from orbitweave.llm.shingles import BAND_ROWS, BANDS, SIZE_CLASSES, band_keys, shingle_sets, signatures
+from orbitweave.llm.shingles import BAND_ROWS, BANDS, SIZE_CLASSES, band_keys, parity_sketch, shingle_sets, signatures
 from orbitweave.llm.threshold_topk import top_inner_products
 from orbitweave.llm.token_files import read_token_files, write_token_files
 from orbitweave.llm.tokens import default_tokenizer, encode_words, load
@@ -190,6 +190,28 @@ def test_near_duplicates_at_80_against_all_pairs(spark):
     assert sorted(map(tuple, got)) == near_expected(rows, 80)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_a_large_group_mostly_below_the_limit(spark, percent):
+    """One family of texts with one to seven changed words: few of its pairs are linked, most are a little apart."""
+    rng = random.Random(9)
+    base, texts = [f"w{k}" for k in range(150)], []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 8)):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    got = near_duplicates(frame(spark, texts), percent=percent).collect()
+    assert sorted(map(tuple, got)) == near_expected(list(enumerate(texts)), percent)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200))
+def test_sketches_differ_in_no_more_bits_than_sets_in_members(a, b):
+    sketches = [parity_sketch(np.array(sorted(x), np.uint64)) for x in (a, b, a | b)]
+    for k, other in ((1, a ^ b), (2, b - a)):
+        assert int(np.bitwise_count(sketches[0] ^ sketches[k]).sum()) <= len(other)
+
+
 def test_size_classes_and_bands_reach_to_80():
     for n in range(4, 3000):
         other = n * 100 // 80
