@@ -513,6 +513,38 @@ def test_email_in_words_is_added_without_at_sign_or_dot(spark):
     assert all(got[k].n_added == 0 and got[k].n_email == 1 for k in range(400))
 
 
+def test_data_written_past_the_patterns_is_added_and_look_alikes_are_not(spark):
+    rng = random.Random(3)
+    card = lambda: next(c for c in iter(lambda: f"4{rng.randrange(10**15):015d}", "") if luhn(c))
+    plain = []
+    for k in range(300):
+        plain.append(f"write to name{k}.x@mail{k % 7}.example.org now, host 10.{k % 250}.3.{k % 99} is up")
+        plain.append(f"card {card()} or call +1 (2{k % 90:02d}) 555-{k:04d} now")
+    good = [
+        ("write to {} now", "email", "jo.doe (at) mail.example.org"), ("write to {} now", "email", "jo.doe [at] mail [dot] example [dot] org"),
+        ("mail: {}", "email", "jane at example dot com"), ("host {} ok", "ip", "10[.]20[.]30[.]40"),
+        ("card {} x", "card", "4111/1111/1111/1111"), ("call {} now", "phone", "1 (243) 555-3824"),
+    ]
+    bad = ["met at home. Then we left at noon.", "777[.]1[.]2[.]3", "card 4111/1111/1111/1112 x", "on 2024-10-23 11 it", "sum 1.234.567.890 in all", "12 and 14", ""]
+    texts = [*plain, *(around.format(piece) for around, _, piece in good), *bad]
+    got = {r.doc_id: r for r in find_personal_data(frame(spark, texts)).collect()}
+    for i, (around, kind, piece) in enumerate(good, len(plain)):
+        start = around.index("{")
+        assert f"{kind}:{start}:{start + len(piece)}" in got[i].spans.split(",") and got[i].n_added >= 1, piece
+    for i in range(len(plain) + len(good), len(texts)):
+        assert got[i].n_added == 0, texts[i]
+    # Held-out precision of the plain texts: nothing is added to them.
+    assert sum(got[i].n_added for i in range(len(plain))) == 0
+
+
+def test_personal_data_of_repeated_and_missing_ids(spark):
+    text = "call +1 (200) 555-0199 now"
+    got = find_personal_data(frame(spark, [text, text, text, None], [None, 7, 7, 7])).collect()
+    assert sorted((r.n_phone, r.doc_id) for r in got if r.doc_id) == [(0, 7), (1, 7), (1, 7)]
+    assert [r.n_phone for r in got if r.doc_id is None] == [1]
+    assert find_personal_data(frame(spark, [])).count() == 0
+
+
 def test_trees_separate_and_cuts_keep_precision():
     x = np.array([[a, b] for a in range(4) for b in range(4)])
     positive = np.array([10.0 if a > 1 and b > 0 else 0.0 for a, b in x])
