@@ -59,9 +59,10 @@ def exact_expected(rows):
 
 
 @pytest.mark.parametrize("key", [F.xxhash64, lambda t: F.length(t).cast("long"), lambda t: F.lit(1).cast("long")])
-def test_exact_dedup_with_any_key(spark, key):
+@pytest.mark.parametrize("split_rows", [None, 2])
+def test_exact_dedup_with_any_key(spark, key, split_rows):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(4, "one"), (None, "one"), (None, "alone"), (None, "alone")]
-    got = exact_dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows]), key=key, capacity=2, max_depth=6)
+    got = exact_dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows]), key=key, capacity=2, split_rows=split_rows)
     got = [tuple(r)[:5] for r in got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()]
     assert sorted(got, key=repr) == exact_expected(rows)
 
@@ -70,22 +71,43 @@ def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(frame(spark, [])).count() == 0
 
 
-def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    cells = bucket_directory(entries, capacity=100, max_depth=10).collect()
-    held = entries.groupBy(F.shiftrightunsigned("h", 54).alias("cell")).count().collect()
-    bucket = {r["cell"]: (r["depth"], r["bucket"]) for r in cells}
-    sizes, parents = Counter(), Counter()
-    for r in held:
-        depth, start = bucket[r["cell"]]
-        sizes[depth, start] += r["count"]
-        width = 1 << (10 - depth + 1)
-        parents[depth - 1, start // width * width] += 0
+def test_copies_of_a_hot_key_are_split_and_owned_by_its_bucket(spark):
+    rows = [(i, "hot text") for i in range(400)] + [(None, "hot text")] * 50 + [(1000 + i, f"text {i % 90}") for i in range(200)]
+    got = exact_dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(3), capacity=8, split_rows=20).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == exact_expected(rows)
+    # Equal texts lie in one bucket, and no bucket holds more keys than it may.
+    keys = Counter()
+    for bucket, _ in {(r.bucket, r.text_sha256) for r in got}:
+        keys[bucket] += 1
+    assert len({r.text_sha256 for r in got}) == sum(keys.values()) == 91 and max(keys.values()) <= 8 and len(keys) > 10
+
+
+def test_documents_find_their_entries_through_the_directory(spark, monkeypatch):
+    """Without a cell of the directory its documents meet no owner."""
+    from orbitweave.llm import exact_dedup as module
+
+    whole = module.bucket_directory
+    monkeypatch.setattr(module, "bucket_directory", lambda *a: (whole(*a)[0], whole(*a)[1].orderBy("cell").offset(1)))
+    texts = frame(spark, [f"text {i % 50}" for i in range(100)])
+    assert 0 < exact_dedup(texts, capacity=4).count() < 100
+
+
+@pytest.mark.parametrize("low_bits", [False, True])
+def test_directory_splits_overfull_buckets(spark, low_bits):
+    """Also where keys differ in their lowest bits alone, at any depth."""
+    entries = spark.range(3000).select((F.col("id") if low_bits else F.xxhash64("id")).alias("h"))
+    depth, directory = bucket_directory(entries, capacity=100)
+    bucket = {r["cell"]: (r["depth"], r["bucket"]) for r in directory.collect()}
+    held = Counter((r.h & (1 << 64) - 1) >> 64 - depth for r in entries.collect())
+    assert set(held) == {c & (1 << 64) - 1 for c in bucket}
+    sizes = Counter()
+    for cell, n in held.items():
+        sizes[bucket[cell]] += n
     assert max(sizes.values()) <= 100 and sum(sizes.values()) == 3000
-    for depth, start in sizes:
-        width = 1 << (10 - depth + 1)
-        first = start // width * width
-        assert sum(r["count"] for r in held if first <= r["cell"] < first + width) > 100
+    for local, start in sizes:
+        width = 1 << (depth - local + 1)
+        first = (start & (1 << 64) - 1) // width * width
+        assert sum(n for c, n in held.items() if first <= c < first + width) > 100
 
 
 # --- near duplicates ------------------------------------------------------------------
