@@ -8,14 +8,14 @@ was not met. The block is done with the query once that bound is below its k-th
 score so far; a tie with the bound reads on, as a smaller id could win. Scores of
 earlier blocks of the task carry over, so later blocks often stop at once.
 
-Queries come in blocks of bounded size, each broadcast to one pass over the
-candidates.
+Queries come in blocks of bounded size. One block at a time is sent to the tasks, for
+one pass over the candidates whose results are written before the next block is read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import materialize
+from .shared import materialize, shared_dir
 
 
 class SortedLists:
@@ -96,10 +96,11 @@ def top_inner_products(
     queries = materialize(usable.where("q").select("id", "v").distinct(), "topk-queries")
     total = queries.count()
     blocks = -(-2 * total // query_rows)  # hashed blocks of half the bound on average
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))).cast("int"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(max(1, blocks))).cast("int"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     kind = vectors.schema[id_col].dataType.simpleString()
 
-    def one_pass(block: int) -> DataFrame:
+    def one_pass(block: int, folder: str) -> None:
         rows = queries.where(F.col("block") == block).select("id", "v").collect()  # below query_rows
         sent = spark.sparkContext.broadcast([(r["id"], np.array(r["v"], np.float64)) for r in rows])
 
@@ -119,11 +120,17 @@ def top_inner_products(
                         ["query_id", "id", "score"],
                     )
 
-        return usable.select("id", "v").mapInArrow(search, f"query_id long, id {kind}, score long")
+        found = usable.select("id", "v").mapInArrow(search, f"query_id long, id {kind}, score long")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.select("query_id", "id", "score").write.mode("append").parquet(folder)
+        sent.destroy()
 
+    folder = f"{shared_dir(spark)}/topk-found-{uuid.uuid4().hex}"
     none = usable.select(F.col("id").cast("long").alias("query_id"), "id", F.lit(0).cast("long").alias("score")).where("false")
-    found = reduce(DataFrame.unionAll, [one_pass(b) for b in range(blocks)], none)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    none.write.parquet(folder)
+    for block in range(blocks):
+        one_pass(block, folder)
+    found = spark.read.schema(none.schema).parquet(folder)
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
