@@ -13,11 +13,15 @@ the one cell where the prefix ends are put in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import materialize
+from .tokens import count_ids
 
 LEVELS = ("domain", "lang", "source")
 #: Each level cuts a cell of the seeded order into 64: after three, 262,144 cells a source.
@@ -47,7 +51,7 @@ def deal(children: DataFrame, budgets: DataFrame, parent: list[str]) -> DataFram
 
 
 def leaf_budgets(leaves: DataFrame, weights: DataFrame, total: float, max_epochs: int) -> DataFrame:
-    """(domain, lang, source, tokens, budget) from (domain, lang, source, tokens) and the leaves' weights.
+    """(domain, lang, source, tokens, weight, budget, leaf) from (domain, lang, source, tokens) and the leaves' weights.
 
     ``weights`` has a leaf's target weight; a leaf without one gets 0, and a null or
     negative weight counts as 0. A node's weight is the sum over its leaves.
@@ -72,7 +76,7 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, total: float, max_epochs
         )
     budgets = budgets.drop("root")
     return rows.join(budgets, keys, "left").select(
-        *LEVELS, "tokens", F.floor(F.coalesce("budget", F.lit(0.0))).alias("budget"), _leaf(*keys).alias("leaf")
+        *LEVELS, "tokens", "weight", F.floor(F.coalesce("budget", F.lit(0.0))).alias("budget"), _leaf(*keys).alias("leaf")
     )
 
 
@@ -90,31 +94,55 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _counted(rows: DataFrame, tokenizer: str | None) -> DataFrame:
+    """``rows`` with the column ``tokens`` in place of ``text``."""
+    if tokenizer is None:
+        return rows.withColumn("tokens", word_count(F.col("text"))).drop("text")
+    names = [c for c in rows.columns if c != "text"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = pa.array(count_ids(batch.column("text").to_pylist(), tokenizer), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), counts], [*names, "tokens"])
+
+    bare = rows.withColumn("text", F.col("text").cast("binary"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
+    return bare.mapInArrow(count, f"{kinds}, tokens long")
+
+
 def mix(
     docs: DataFrame, weights: DataFrame, domain: Column, lang: Column, source: Column, share: float = 0.8,
-    max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
+    max_epochs: int = 1, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
 ) -> DataFrame:
     """The chosen rows of ``docs`` with ``mix_epoch`` (from 0), a row per epoch that takes it.
 
-    The budget is ``share`` of all words. A document is in a pass's prefix if the
-    words ahead of it in its source's seeded order are fewer than the budget leaves
-    for that pass; so a source exceeds its budget by less than a document. Texts
-    without words go with the prefix they fall into. Null names of domain, language
-    or source are names of their own; rows that share an id, such as repeated ones or
-    those with a null id, stand or fall together; an empty table stays empty.
+    The budget is ``share`` of all tokens: ids of the ``tokenizer`` file, or words where
+    none is named. A pass that the budget pays for takes the whole source, texts without
+    tokens too, and a source of weight that has no tokens at all is taken whole once. Of
+    a pass that it pays for in part, a document is in the prefix if the tokens ahead of
+    it in its source's seeded order are fewer than what is left; so a source exceeds its
+    budget by less than a document, and texts without tokens go with the prefix they fall
+    into. Null names of domain, language or source are names of their own; rows that
+    share an id, such as repeated ones or those with a null id, stand or fall together; a
+    column ``mix_epoch`` of ``docs`` is replaced; an empty table stays empty.
     """
     parts = [domain.alias("domain"), lang.alias("lang"), source.alias("source")]
     leaf = _leaf(*(_named(c) for c in LEVELS))
-    tagged = docs.select(*parts, F.xxhash64(F.lit(seed), F.col(id_col)).alias("base"), word_count(F.col(text_col)).alias("words"))
+    tagged = docs.select(*parts, F.xxhash64(F.lit(seed), F.col(id_col)).alias("base"), F.col(text_col).alias("text"))
+    tagged = _counted(tagged, tokenizer).withColumnRenamed("tokens", "words")
     tagged = materialize(tagged.withColumn("leaf", leaf), "mix-words")
     leaves = tagged.groupBy(*LEVELS).agg(F.sum("words").cast("double").alias("tokens"))
     leaves = materialize(leaves, "mix-sources")
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0.0) * share
     epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("epoch")
-    due = F.least("tokens", F.greatest(F.col("budget") - F.col("epoch") * F.col("tokens"), F.lit(0))).cast("double")
-    budgets = leaf_budgets(leaves, weights, total, max_epochs).select("*", epochs)
-    edge = budgets.select("leaf", "epoch", due.alias("due"), F.lit(0.0).alias("ahead"), F.lit(0).cast("long").alias("prefix"))
-    edge = materialize(edge.where("due > 0"), "mix-due")
+    left = F.greatest(F.col("budget") - F.col("epoch") * F.col("tokens"), F.lit(0)).cast("double")
+    budgets = leaf_budgets(leaves, weights, total, max_epochs).where("weight > 0").select("*", epochs)
+    budgets = materialize(budgets.select("leaf", "epoch", "tokens", left.alias("left")), "mix-due")
+    is_whole = (F.col("left") >= F.col("tokens")) & ((F.col("tokens") > 0) | (F.col("epoch") == 0))
+    whole = budgets.where(is_whole).select("leaf", "epoch", F.lit((1 << 63) - 1).alias("end"))
+    edge = budgets.where(~is_whole & (F.col("left") > 0)).select(
+        "leaf", "epoch", F.col("left").alias("due"), F.lit(0.0).alias("ahead"), F.lit(0).cast("long").alias("prefix")
+    )
     place = F.xxhash64("base", "epoch")
     seen = tagged.select("leaf", "words", "base")
     for depth in range(1, CELL_LEVELS + 1):
@@ -133,9 +161,9 @@ def mix(
         F.sum("words").alias("words"), F.first("due").alias("due"), F.first("ahead").alias("base_ahead")
     )
     last = last.withColumn("met", F.sum("words").over(order) - F.col("words")).where("base_ahead + met < due")
-    ends = materialize(last.groupBy("leaf", "epoch").agg(F.max("place").alias("end")), "mix-ends")
+    ends = materialize(last.groupBy("leaf", "epoch").agg(F.max("place").alias("end")).unionByName(whole), "mix-ends")
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), *parts, F.xxhash64(F.lit(seed), F.col(id_col)).alias("base")
+        F.struct(*(c for c in docs.columns if c != "mix_epoch")).alias("row"), *parts, F.xxhash64(F.lit(seed), F.col(id_col)).alias("base")
     )
     chosen = rows.withColumn("leaf", leaf).join(ends, "leaf").where(place <= F.col("end"))
     return chosen.select("row.*", F.col("epoch").alias("mix_epoch"))

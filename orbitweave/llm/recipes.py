@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Target weight of a source by its language; other languages count 1.
 LANGUAGE_WEIGHTS = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
-#: Words to keep, as a share of all.
+#: Tokens to keep, as a share of all.
 MIX_SHARE = 0.8
 
 

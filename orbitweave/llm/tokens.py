@@ -33,12 +33,27 @@ def load(path: str):
     return _LOADED[path]
 
 
+def count_ids(texts: list[bytes | None], path: str) -> list[int]:
+    """Numbers of ids of each text, by the words that ``encode_words`` would encode."""
+    known, split = _known(texts, path)
+    return [sum(map(len, map(known.__getitem__, words))) // 4 for words in split]
+
+
 def encode_words(texts: list[bytes | None], path: str) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each UTF-8 text; null counts as empty.
 
     Only for tokenizers whose pre-tokenizer never joins characters across ASCII
-    white space and drops it. Once ``_KEEP_WORDS`` words were met, those not met
-    again while as many others come are forgotten.
+    white space and drops it.
+    """
+    known, split = _known(texts, path)
+    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+def _known(texts: list[bytes | None], path: str) -> tuple[dict[bytes, bytes], list[list[bytes]]]:
+    """Ids of words, all of the texts' among them, and the words of each text.
+
+    Once ``_KEEP_WORDS`` words were met, those not met again while as many others come
+    are forgotten.
     """
     import numpy as np
 
@@ -56,4 +71,4 @@ def encode_words(texts: list[bytes | None], path: str) -> list[bytes]:
         decoded = [w.decode("utf-8", "replace") for w in new]
         for word, e in zip(new, tokenizer.encode_batch_fast(decoded, add_special_tokens=False), strict=True):
             known[word] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    return known, split
