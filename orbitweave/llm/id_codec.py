@@ -10,9 +10,12 @@ the block (order 0). How often a prediction of its confidence came true lately g
 the order-2 and order-1 ids their share of the range; the order-0 distribution gets
 what they leave. Everything is whole-number arithmetic, so encoder and decoder agree.
 
-Segment layout, little-endian: magic, version, documents, ids, block size (u32 each);
-per document its id (i64) and number of ids (u32); per block its number of 16-bit words
-and the crc32 of its ids (u32 each); then the blocks' words.
+Ids of 65,536 and more are coded as two streams of blocks, low halves and high halves.
+
+Segment layout, little-endian: magic, version, documents, ids, block size, streams (u32
+each); per document its id (i64) and number of ids (u32, the top bit set where the
+document has no id); per block its number of 16-bit words and the crc32 of its ids (u32
+each); then the blocks' words.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = 0x44495457, 1
+MAGIC, VERSION = 0x44495457, 2
+_NO_ID = 1 << 31
 #: Bits of a coding total, of an order-0 table, and of a context table.
 TOTAL_BITS, TABLE_BITS, CONTEXT_BITS = 16, 12, 10
 TOTAL, TABLE = 1 << TOTAL_BITS, 1 << TABLE_BITS
@@ -116,7 +120,7 @@ def _lanes(ids: np.ndarray, size: int) -> tuple[np.ndarray, int]:
 
 
 def encode_blocks(ids: np.ndarray, size: int) -> list[bytes]:
-    """The coded words of each block of ``ids`` (below 65,536)."""
+    """The coded words of each block of ``ids`` (16-bit numbers)."""
     grid, last = _lanes(ids, size)
     lanes = len(grid)
     if not lanes:
@@ -247,38 +251,44 @@ def decode_blocks(words: list[bytes], ids: int, size: int) -> np.ndarray:
     return np.ascontiguousarray(columns.T).ravel()[:ids]
 
 
-def write_segment(docs: list[tuple[int, np.ndarray]]) -> bytes:
-    """A segment of (document id, ids below 65,536)."""
+def write_segment(docs: list[tuple[int | None, np.ndarray]]) -> bytes:
+    """A segment of (document id or None, 32-bit ids)."""
     ids = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.int64)
-    if len(ids) and int(ids.max()) > 0xFFFF:
-        raise ValueError("ids of 65,536 and more do not fit this format")
     size = block_size(len(ids))
-    blocks = encode_blocks(ids, size)
-    head = [struct.pack("<IIIII", MAGIC, VERSION, len(docs), len(ids), size)]
-    head += [struct.pack("<qI", doc, len(x)) for doc, x in docs]
-    for k, words in enumerate(blocks):
-        check = zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes())
-        head.append(struct.pack("<II", len(words) // 2, check))
-    return b"".join(head + blocks)
+    streams = [ids] if not len(ids) or int(ids.max()) <= 0xFFFF else [ids & 0xFFFF, ids >> 16]
+    head = [struct.pack("<IIIIII", MAGIC, VERSION, len(docs), len(ids), size, len(streams))]
+    head += [struct.pack("<qI", doc or 0, len(x) | (_NO_ID if doc is None else 0)) for doc, x in docs]
+    words = []
+    for stream in streams:
+        for k, block in enumerate(encode_blocks(stream, size)):
+            check = zlib.crc32(stream[k * size : (k + 1) * size].astype("<u4").tobytes())
+            head.append(struct.pack("<II", len(block) // 2, check))
+            words.append(block)
+    return b"".join(head + words)
 
 
-def read_segment(data: bytes) -> list[tuple[int, np.ndarray]]:
+def read_segment(data: bytes) -> list[tuple[int | None, np.ndarray]]:
     """The documents of a segment; a wrong magic, version or checksum is an error."""
-    magic, version, n_docs, n_ids, size = struct.unpack_from("<IIIII", data, 0)
+    magic, version, n_docs, n_ids, size, n_streams = struct.unpack_from("<IIIIII", data, 0)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a segment of this format")
-    at = 20
+    at, each = 24, -(-n_ids // size)
     directory = np.frombuffer(data, np.dtype([("doc", "<i8"), ("n", "<u4")]), n_docs, at)
     at += directory.nbytes
-    blocks = np.frombuffer(data, np.dtype([("words", "<u4"), ("crc", "<u4")]), -(-n_ids // size), at)
+    blocks = np.frombuffer(data, np.dtype([("words", "<u4"), ("crc", "<u4")]), each * n_streams, at)
     at += blocks.nbytes
-    words = []
-    for n in blocks["words"].tolist():
-        words.append(data[at : at + 2 * n])
-        at += 2 * n
-    ids = decode_blocks(words, n_ids, size)
-    for k, crc in enumerate(blocks["crc"].tolist()):
-        if zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"checksum of block {k} does not match")
-    ends = np.cumsum(directory["n"].astype(np.int64))
-    return [(doc, ids[e - n : e]) for doc, n, e in zip(directory["doc"].tolist(), directory["n"].tolist(), ends.tolist(), strict=True)]
+    ids = np.zeros(n_ids, np.int64)
+    for s in range(n_streams):
+        words = []
+        for n in blocks["words"][s * each : (s + 1) * each].tolist():
+            words.append(data[at : at + 2 * n])
+            at += 2 * n
+        stream = decode_blocks(words, n_ids, size)
+        for k, crc in enumerate(blocks["crc"][s * each : (s + 1) * each].tolist()):
+            if zlib.crc32(stream[k * size : (k + 1) * size].astype("<u4").tobytes()) != crc:
+                raise ValueError(f"checksum of block {k} does not match")
+        ids |= stream << (16 * s)
+    sizes = (directory["n"] & (_NO_ID - 1)).astype(np.int64)
+    names = [None if n & _NO_ID else doc for doc, n in zip(directory["doc"].tolist(), directory["n"].tolist(), strict=True)]
+    ends = np.cumsum(sizes)
+    return [(doc, ids[e - n : e]) for doc, n, e in zip(names, sizes.tolist(), ends.tolist(), strict=True)]

@@ -26,13 +26,15 @@ _PIECE_DOCS = 256
 
 def write_token_files(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-    end_id: int = 1, segment_ids: int = 4_000_000,
+    end_id: int = 1, segment_ids: int = 4_000_000, folder: str | None = None,
 ) -> DataFrame:
     """Write all documents with an integer id; returns the written table (shard, segment, before, n_ids, data).
 
     ``before`` counts the shard's ids ahead of the segment. A null or empty text is
-    the end id alone; repeated rows are written as often as they occur, in either
-    order; rows without an id come first, under the smallest 64-bit number.
+    the end id alone; repeated rows are written as often as they occur; rows that
+    share an id are in the order of a hash of their texts, so that one id may fill
+    many shards; rows without an id come first. The files go to ``folder``, which must
+    not exist yet, or else to the shared folder. Ids are 32-bit numbers at most.
     """
     path = tokenizer or default_tokenizer()
     names = ["shard", "segment", "before", "n_ids", "data"]
@@ -61,12 +63,12 @@ def write_token_files(
         if held:
             yield closed()
 
-    number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(number.alias("id"), F.col(text_col).cast("binary").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return materialize(
-        ordered.mapInArrow(encode, "shard int, segment int, before long, n_ids long, data binary"), "token-files"
-    )
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    order = (F.col("id").asc_nulls_first(), "h")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
+    schema = "shard int, segment int, before long, n_ids long, data binary"
+    return materialize(ordered.mapInArrow(encode, schema), "token-files", folder)
 
 
 def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -90,8 +92,7 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                 sizes = np.array([len(x) for _, x in docs], np.int64)
                 starts = first[shard] + before + np.cumsum(sizes) - sizes
                 crcs = [zlib.crc32(x.astype("<u4").tobytes()) for _, x in docs]
-                ids = [None if d == -(1 << 63) else d for d, _ in docs]
-                out = [pa.array(ids, pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())]
+                out = [pa.array([doc for doc, _ in docs], pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())]
                 if with_ids:
                     out.append(pa.array([x for _, x in docs], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, names)

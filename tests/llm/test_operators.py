@@ -329,6 +329,34 @@ def test_segments_decode_to_what_was_coded(docs, span):
     assert [(k, x.tolist()) for k, x in back] == [(k, x.tolist()) for k, x in docs]
 
 
+def test_token_files_of_missing_and_repeated_ids(spark, tmp_path):
+    texts = ["b", "a a", "c", "c", None, "x y z", "b"]
+    ids = [5, 5, None, None, None, -(1 << 63), 5]
+    docs = frame(spark, texts, ids)
+    runs = [sorted(map(tuple, read_token_files(write_token_files(docs.repartition(n))).collect()), key=lambda r: r[1]) for n in (1, 4)]
+    assert runs[0] == runs[1]
+    assert [r[0] for r in runs[0]] == [None] * 3 + [-(1 << 63)] + [5] * 3
+    sizes = [r[2] for r in runs[0]]
+    assert [r[1] for r in runs[0]] == [sum(sizes[:k]) for k in range(7)]
+    assert sorted(r[3] for r in runs[0]) == sorted(zlib.crc32(ids_of(t, 1).tobytes()) for t in texts)
+    write_token_files(docs, folder=str(tmp_path / "files"))
+    assert spark.read.parquet(str(tmp_path / "files")).agg(F.sum("n_ids")).first()[0] == sum(sizes)
+
+
+@given(st.lists(st.integers(0, 2**32 - 1), max_size=900))
+@settings(max_examples=20, deadline=None)
+def test_wide_ids_come_back(ids):
+    docs = [(None, np.array(ids, np.int64)), (7, np.array([3], np.int64))]
+    back = read_segment(write_segment(docs))
+    assert [(k, x.tolist()) for k, x in back] == [(k, x.tolist()) for k, x in docs]
+
+
+def test_ordinary_ids_take_less_than_16_bits(spark):
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 300_000), 40_000).astype(np.int64)
+    assert len(write_segment([(1, ids)])) < 2 * len(ids) * 0.8
+
+
 def test_a_damaged_segment_is_an_error():
     data = bytearray(write_segment([(1, np.arange(3000))]))
     data[-40] ^= 1
@@ -435,6 +463,39 @@ def test_mix_matches_brute_force_prefix(spark):
     assert got == want
 
 
+def test_a_whole_pass_takes_texts_without_tokens(spark):
+    rows = [(i, "w w" if i % 2 else None, "en", f"s{i % 3}", 1, "", "", "", "") for i in range(60)]
+    rows += [(100 + i, t, "en", "blank", 1, "", "", "", "") for i, t in enumerate([None, "", "  "])]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("mix_epoch", F.lit("mine"))
+    names = F.lit("d"), F.col("lang"), F.col("source")
+    weights = docs.select(F.lit("d").alias("domain"), "lang", "source", F.lit(1.0).alias("weight")).distinct()
+    got = mix(docs, weights, *names, share=1.0)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r[0] for r in rows) and {r.mix_epoch for r in got.collect()} == {0}
+    twice = mix(docs, weights, *names, share=2.0, max_epochs=2).collect()
+    assert Counter(r.doc_id for r in twice) == {r[0]: 1 if r[0] >= 100 else 2 for r in rows}
+
+
+def test_mix_counts_ids_of_a_tokenizer(spark):
+    texts = [f"extraordinarily{k} unpronounceable words" if k % 2 else "a b c" for k in range(200)]
+    rows = [(k, t, "en", f"s{k % 2}", 1, "", "", "", "") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = F.lit("d"), F.col("lang"), F.col("source")
+    weights = docs.select(F.lit("d").alias("domain"), "lang", "source", F.lit(1.0).alias("weight")).distinct()
+    got = {r.doc_id for r in mix(docs, weights, *names, share=0.3, tokenizer=default_tokenizer()).collect()}
+    sizes = [len(x) // 4 for x in encode_words([t.encode() for t in texts], default_tokenizer())]
+    places = {r.doc_id: r.p for r in docs.select("doc_id", F.xxhash64(F.xxhash64(F.lit(17), "doc_id"), F.lit(0)).alias("p")).collect()}
+    held = [sum(sizes[k] for k in range(s, 200, 2)) for s in (0, 1)]
+    first = min(held[0], 0.15 * sum(held))
+    want = set()
+    for s, budget in ((0, math.floor(first)), (1, math.floor(0.3 * sum(held) - first))):
+        ahead = 0
+        for k in sorted(range(s, 200, 2), key=places.get):
+            want |= {k} if ahead < budget else set()
+            ahead += sizes[k]
+    assert got == want
+
+
 # --- language model -----------------------------------------------------------------------
 
 
