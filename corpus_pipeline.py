@@ -19,6 +19,7 @@ from orbitweave.llm.packing import pack
 from orbitweave.llm.quality import quality_scores
 from orbitweave.llm.recipes import MIX_SHARE, domain_of, source_weights
 from orbitweave.llm.shared import materialize
+from orbitweave.llm.tokens import default_tokenizer
 
 #: Least share of shingles, in a hundred of the union, that makes two documents near duplicates here.
 NEAR_PERCENT = 80
@@ -43,14 +44,22 @@ def _rows_of(keyed: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    A row follows its own text: rows that share an id, or have none, are judged one by one. Null texts are judged as
+    empty ones. Equal rows stay or go together. An empty table gives an empty one.
+    """
     keyed = _keyed(docs)
     scores = quality_scores(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=(TEXT_KEY,))
     return _rows_of(keyed, scores.where("predicted = 1")).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id, and one row of it."""
+    """One document of each group of equal texts, the one with the largest id, and one row of it.
+
+    A null text equals an empty one; a row without id stays only if no equal text has one. Of rows that have id and
+    text in common, whatever their other columns, one stays. An empty table gives an empty one.
+    """
     kept = exact_dedup(docs).where("kept").select("doc_id", TEXT_KEY)
     rows = _rows_of(_keyed(docs), kept)
     repeated = kept.groupBy("doc_id", TEXT_KEY).agg(F.count("*").alias("n")).where("n > 1")
@@ -64,7 +73,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; similarity is 0.8 or more.
 
     Where ids are missing or stand for several rows, numbers in the order of ids, missing ones last, take their
-    place, so that every text is linked and kept for itself.
+    place, so that every text is linked and kept for itself. Rows that have id and text in common stay or go together;
+    null and empty texts are linked with nothing and all stay. An empty table gives an empty one.
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
@@ -80,13 +90,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen so that sources meet their target weights in one epoch."""
+    """Documents chosen so that sources meet their target weights, in tokens, in one epoch.
+
+    A null language or source is a name of its own. Rows that share an id, or have none, within a source stand or fall
+    together, and so do documents whose places in the seeded order tie. Null and empty texts weigh nothing and go with
+    the prefix they fall into, or with their source if it is taken whole. An empty table gives an empty one.
+    """
     names = domain_of(F.col("source")), F.col("lang"), F.col("source")
-    return mix(docs, source_weights(docs), *names, share=MIX_SHARE).select(*docs.columns)
+    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, tokenizer=default_tokenizer())
+    return mixed.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Pieces of all documents in sequences of at most 4096 tokens.
+
+    A null or empty text is its end id alone; repeated rows and rows without id are packed one by one, each with its
+    own pieces. An empty table gives no sequence.
+    """
     return pack(docs)
 
 
