@@ -1,6 +1,7 @@
 """The pipeline's stages against plain Python, and the registered queries."""
 
 import importlib
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from orbitweave.llm import queries as registered
 from orbitweave.llm.quality import quality_scores
+from orbitweave.llm.recipes import MIX_SHARE, domain_of
+from orbitweave.llm.tokens import default_tokenizer, encode_words, load
 
 WORDS = [a + b for a in ("ba", "ko", "li", "mu", "te", "ra") for b in ("n", "ro", "st", "vi", "del")]
 
@@ -95,6 +98,74 @@ def test_rows_without_an_id_of_their_own_follow_their_own_decisions(spark, folde
     assert odd(near) == sorted(want - {(None, prose(953)[:-1] + " twist.")}, key=repr)
 
 
+def shared_out(children, budget):
+    """{name: budget} of {name: (weight, room)}: what a full child cannot take goes to its siblings by weight."""
+    out, open_ = {}, dict(children)
+    while open_:
+        total = sum(w for w, _ in open_.values())
+        full = [k for k, (w, room) in open_.items() if room <= budget * w / total]
+        if not full:
+            return out | {k: budget * w / total for k, (w, _) in open_.items()}
+        for k in full:
+            out[k] = open_.pop(k)[1]
+            budget -= out[k]
+    return out
+
+
+def test_mixing_stage_against_a_tree_in_plain_python(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        source, lang = f"src{rng.integers(7)}", ["en", "de", "it", None][rng.integers(4)]
+        rows.append((i, prose(i, int(rng.integers(0, 60))) if i % 17 else None, lang, source if i % 29 else None, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").collect()}
+
+    sizes = {r[0]: len(x) // 4 for r, x in zip(rows, encode_words([(r[1] or "").encode() for r in rows], default_tokenizer()), strict=True)}
+    place = F.xxhash64(F.xxhash64(F.lit(17), "doc_id"), F.lit(0)).alias("p")
+    seen = {r.doc_id: (r.p, r.domain) for r in docs.select("doc_id", place, domain_of(F.col("source")).alias("domain")).collect()}
+    leaves = {}
+    for i, _, lang, source, _ in rows:
+        leaves.setdefault((seen[i][1], lang, source), []).append(i)
+    room = {k: sum(sizes[i] for i in own) for k, own in leaves.items()}
+    weight = {k: {"en": 4.0, "de": 2.0}.get(k[1], 1.0) for k in leaves}
+    budgets = {(): MIX_SHARE * sum(room.values())}
+    for depth in (1, 2, 3):
+        for parent in {k[: depth - 1] for k in leaves}:
+            nodes = {k[:depth] for k in leaves if k[: depth - 1] == parent}
+            sums = {n: tuple(sum(of[k] for k in leaves if k[:depth] == n) for of in (weight, room)) for n in nodes}
+            budgets |= shared_out(sums, budgets[parent])
+    want = set()
+    for leaf, own in leaves.items():
+        budget, ahead = int(budgets[leaf] + 1e-9), 0
+        for i in sorted(own, key=lambda i: seen[i][0]):
+            if ahead < budget or budget >= room[leaf]:
+                want.add(i)
+            ahead += sizes[i]
+    assert got == want and 0 < len(got) < len(rows)
+
+
+def test_packing_stage_against_the_ids_of_whole_texts(spark):
+    texts = [prose(i, 40 * i) for i in range(60)] + [prose(999, 9000), "", None]
+    rows = [(i, t, "en", "a", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    pieces = corpus_pipeline.packing(spark, docs, "").collect()
+    ids = {i: load(default_tokenizer()).encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    for i in ids:
+        own = sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in own] == [sum(r.length for r in own[:k]) for k in range(len(own))]
+        assert sum(r.length for r in own) == len(ids[i]) and {r.doc_tokens for r in own} == {len(ids[i])}
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[i][r.start : r.start + r.length], "<u4").tobytes())
+    windows = {}
+    for r in pieces:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in windows.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    assert len(windows) <= -(-sum(map(len, ids.values())) // 4096) + 1
+
+
 def test_run_gives_whole_documents(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     sums = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
