@@ -348,18 +348,19 @@ def schedule_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH l AS (
-  SELECT l_orderkey % 100 AS run, l_suppkey % 7 AS worker, l_linenumber AS batch, avg(CAST(l_extendedprice AS DECIMAL(18, 2))) AS loss
+  SELECT l_orderkey % 100 AS run, l_suppkey % 7 AS worker, l_linenumber AS batch,
+         CAST(CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS DECIMAL(24, 6)) AS loss
   FROM lineitem WHERE (l_suppkey % 7) <> 3 GROUP BY 1, 2, 3),
-w AS (SELECT run, worker, avg(loss) AS loss FROM l GROUP BY 1, 2)
-SELECT run, round(avg(loss), 4) AS loss FROM w GROUP BY run
+w AS (SELECT run, worker, CAST(CAST(sum(loss) AS DOUBLE) / count(*) AS DECIMAL(24, 8)) AS loss FROM l GROUP BY 1, 2)
+SELECT run, CAST(sum(loss) AS DOUBLE) / count(*) AS loss FROM w GROUP BY run
 """)
 def validation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over batches, then over the enabled workers of each run."""
     rows = table(spark, sf_dir, "lineitem").groupBy(
         (F.col("l_orderkey") % 100).alias("run"), (F.col("l_suppkey") % 7).alias("worker_id"), F.col("l_linenumber").alias("batch")
     )
-    losses = rows.agg(F.avg("l_extendedprice").alias("loss")).withColumn("enabled", F.col("worker_id") != 3)
-    return reductions.validation_loss(losses, ["run"]).select("run", F.round("loss", 4).alias("loss"))
+    losses = rows.agg(reductions.exact_mean(2)("l_extendedprice").alias("loss")).withColumn("enabled", F.col("worker_id") != 3)
+    return reductions.validation_loss(losses, ["run"], (reductions.exact_mean(6), reductions.exact_mean(8))).select("run", "loss")
 
 
 @query("""

@@ -24,7 +24,7 @@ from orbitweave.operators.solvers import Degeneracy, Evaluation, Outcome, add_pr
 def gauss_newton_sums(rows: DataFrame, knobs: int) -> tuple[float, np.ndarray, np.ndarray]:
     """(loss, gradient, normal matrix) from rows (jac, residual, weight), summed per partition in numpy and then by Spark.
 
-    Rows whose weight is 0 or whose residual is absent count nothing.
+    Rows whose weight is 0 or null, whose residual is absent or whose derivatives are not all there count nothing.
     """
     low = np.tril_indices(knobs)
 
@@ -40,7 +40,8 @@ def gauss_newton_sums(rows: DataFrame, knobs: int) -> tuple[float, np.ndarray, n
             total += np.concatenate([[w @ (r * r)], weighted.T @ r, (weighted.T @ j)[low]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
 
-    parts = rows.select("jac", "residual", "weight").mapInArrow(partial, "i long, v double")
+    usable = rows.where((F.size("jac") == knobs) & ~F.exists("jac", lambda x: x.isNull()) & F.col("weight").isNotNull())
+    parts = usable.select("jac", "residual", "weight").mapInArrow(partial, "i long, v double")
     sums = np.zeros(1 + knobs + len(low[0]))
     for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # a row per knob and pair of knobs
         sums[r["i"]] = r["v"]

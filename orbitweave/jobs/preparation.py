@@ -212,7 +212,7 @@ def chi2_per_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted chi-square of each monitor's readings against its mean orbit: the flagship query."""
     rows = weighted(spark, sf_dir)
     means = measurements(spark, sf_dir).groupBy("name").agg(F.avg("x").alias("model"))
-    rows = rows.join(F.broadcast(means), "name")  # a row per monitor
+    rows = rows.join(means, "name")
     out = reductions.chi_square(rows, ["name"], F.col("x") - F.col("model"))
     return out.select("name", F.round("chi2", 4).alias("chi2"), "n_points")
 

@@ -6,7 +6,7 @@ matrices travel as (a, b, value) entries of their lower triangle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +82,17 @@ def reduce_replies(replies: DataFrame, values: Sequence[str], keys: Sequence[str
     return rows.groupBy(*keys).agg(*sums, F.sum(good.cast("int")).cast("long").alias("n_valid"), lost.alias("lost"))
 
 
-def validation_loss(losses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def exact_mean(digits: int) -> Callable[[str], Column]:
+    """A mean of values rounded to so many digits, whose sum is exact in any order."""
+    return lambda c: F.sum(F.col(c).cast(f"decimal(24,{digits})")).cast("double") / F.count(c)
+
+
+def validation_loss(
+    losses: DataFrame, keys: Sequence[str] = (), means: tuple[Callable[[str], Column], Callable[[str], Column]] = (F.avg, F.avg)
+) -> DataFrame:
     """Mean over batches per worker, then the plain mean over enabled workers; null if none is."""
-    per_worker = losses.where("enabled").groupBy(*keys, "worker_id").agg(F.avg("loss").alias("loss"))
-    return per_worker.groupBy(*keys).agg(F.avg("loss").alias("loss"))
+    per_worker = losses.where("enabled").groupBy(*keys, "worker_id").agg(means[0]("loss").alias("loss"))
+    return per_worker.groupBy(*keys).agg(means[1]("loss").alias("loss"))
 
 
 def gains(rows: DataFrame, keys: Sequence[str], model: Column, measured: Column, ridge: float, batches: int = 1) -> DataFrame:

@@ -235,21 +235,6 @@ def constrained_least(covariances: Vector, names: Sequence[str], n: int = 10) ->
     return [(names[i], float(sigma[i])) for i in np.argsort(-sigma, kind="stable")[:n]]
 
 
-def refinement_order(n: int) -> list[int]:
-    """Indices of a list of ``n`` from coarse to fine: both ends, then middles of halves, level by level."""
-    if n <= 2:
-        return list(range(n))
-    order, spans = [0, n - 1], [(0, n - 1)]
-    while spans:
-        following = []
-        for a, b in spans:
-            if b - a > 1:
-                order.append((a + b) // 2)
-                following += [(a, (a + b) // 2), ((a + b) // 2, b)]
-        spans = following
-    return order
-
-
 def expand(saved: Mapping[str, float], knobs: Sequence[str]) -> Vector:
     """A saved vector in the order of ``knobs``, 0 where it has none; a saved knob that is not there is an error."""
     if missing := set(saved) - set(knobs):

@@ -14,7 +14,9 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,7 @@ HISTORY = T.StructType(
         T.StructField("new_best", T.BooleanType()),
     ]
 )
+ATTEMPTS = "attempt int, name string, started double, knob_names array<string>, resume_step long"
 STAGE = "name string, started double, knob_names array<string>, metadata map<string,string>"
 
 
@@ -45,8 +48,8 @@ def unfinished(stages: DataFrame, results: DataFrame, histories: DataFrame, name
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a history up to its first line that is no JSON object; of a repeated step the last line counts."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\n")).alias("row", "line")).where(F.trim("line") != "")
+    # Lines keep their file's order within a task and from task to task, so a long log is read by many.
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.col("value").alias("line")).where(F.trim("line") != "")
     parsed = lines.withColumn("r", F.from_json("line", HISTORY, {"mode": "PERMISSIVE"}))
     # A cut line parses to a record without a step.
     broken = F.col("r").isNull() | F.col("r.step").isNull() | ~F.trim("line").endswith("}")
@@ -79,53 +82,43 @@ def read_knob_rows(spark: SparkSession, path: str, knobs: Sequence[str]) -> Data
     return rows.select("step", F.posexplode("v").alias("k", "value")).select("step", F.element_at(label, F.col("k") + 1).alias("knob"), "value")
 
 
-class RunLog:
-    """Writes a run's log beside the driver: small files, flushed at every step."""
-
-    def __init__(self, folder: str | Path, knobs: Sequence[str]):
-        self.folder, self.knobs = Path(folder), list(knobs)
-
-    def begin(self, name: str, metadata: Mapping[str, Any] | None = None, resume_step: int | None = None) -> None:
-        """Start a log, or go on with one from ``resume_step``: later steps are cut, other knobs are an error."""
-        self.folder.mkdir(parents=True, exist_ok=True)
-        stage = self.folder / "stage.json"
-        if resume_step is not None and stage.exists():
-            if json.loads(stage.read_text())["knob_names"] != self.knobs:
-                raise ValueError("the log has other knobs")
-            self._cut(resume_step)
-            return
-        self._replace(stage, {"name": name, "started": time.time(), "knob_names": self.knobs, "metadata": dict(metadata or {})})
-
-    def log(self, step: int, values: Mapping[str, float], **scalars: Any) -> None:
-        with (self.folder / "history.jsonl").open("a") as f:
-            f.write(json.dumps({"step": step, "time": time.time(), **scalars}, sort_keys=True, default=str) + "\n")
-        with (self.folder / "knobs.f64").open("ab") as f:
-            f.write(struct.pack(f"<{1 + len(self.knobs)}d", step, *(values[k] for k in self.knobs)))
-
-    def finish(self, result: Mapping[str, Any]) -> None:
-        self._replace(self.folder / "result.json", result)
-
-    def _cut(self, step: int) -> None:
-        history, rows = self.folder / "history.jsonl", self.folder / "knobs.f64"
-        kept = []
-        for line in history.read_text().splitlines() if history.exists() else []:
-            try:
-                record = json.loads(line)
-            except ValueError:
-                break
-            if record["step"] < step:
-                kept.append(line + "\n")
-        history.write_text("".join(kept))
-        width = 8 * (1 + len(self.knobs))
-        data = rows.read_bytes() if rows.exists() else b""
-        parts = [data[i : i + width] for i in range(0, len(data) - width + 1, width)]
-        rows.write_bytes(b"".join(p for p in parts if struct.unpack_from("<d", p)[0] < step))
-
-    @staticmethod
-    def _replace(path: Path, content: Mapping[str, Any]) -> None:
-        part = path.with_suffix(".part")
-        part.write_text(json.dumps(content, sort_keys=True, default=str))
-        os.replace(part, path)
+def begin_attempt(spark: SparkSession, folder: str, name: str, knobs: Sequence[str], resume_step: int | None = None) -> int:
+    """Number of a new attempt of a run whose steps are kept as a table; other knobs than before are an error.
+
+    An attempt that goes on from ``resume_step`` outdates the steps from there on of all attempts before it. Nothing
+    is cut from files: what counts is decided when the table is read.
+    """
+    try:
+        before = spark.read.schema(ATTEMPTS).json(f"{folder}/attempts").orderBy(F.desc("attempt")).first()
+    except AnalysisException:  # no attempt yet
+        before = None
+    if before is not None and before.knob_names != list(knobs):
+        raise ValueError("the log has other knobs")
+    attempt = 0 if before is None else before.attempt + 1
+    row = [(attempt, name, time.time(), list(knobs), resume_step)]
+    spark.createDataFrame(row, ATTEMPTS).coalesce(1).write.mode("append").json(f"{folder}/attempts")
+    return attempt
+
+
+def append_steps(steps: DataFrame, folder: str, attempt: int) -> None:
+    """Add rows (step, ...) to an attempt's part of the table, from as many tasks as ``steps`` has."""
+    steps.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("attempt").parquet(f"{folder}/steps")
+
+
+def current_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The steps that no later attempt outdates; of a repeated step the latest attempt counts."""
+    later = W.orderBy(F.desc("attempt")).rowsBetween(W.unboundedPreceding, -1)  # a row per attempt
+    limits = spark.read.schema(ATTEMPTS).json(f"{folder}/attempts").select("attempt", F.min("resume_step").over(later).alias("end"))
+    steps = spark.read.parquet(f"{folder}/steps")
+    held = steps.join(limits, "attempt").where("end is null or step < end")
+    row = F.struct(*(c for c in steps.columns if c != "attempt"))
+    return held.groupBy("step").agg(F.max_by(row, "attempt").alias("row")).select("row.*")
+
+
+def _replace(path: Path, content: Mapping[str, Any]) -> None:
+    part = path.with_suffix(".part")
+    part.write_text(json.dumps(content, sort_keys=True, default=str))
+    os.replace(part, path)
 
 
 def save_checkpoint(path: str | Path, epoch: int, knobs: Mapping[str, float], state: Mapping[str, Sequence[float]]) -> None:
@@ -133,7 +126,7 @@ def save_checkpoint(path: str | Path, epoch: int, knobs: Mapping[str, float], st
     values = [*knobs.values(), *(v for x in state.values() for v in x)]
     if not all(abs(v) < float("inf") for v in values):
         raise ValueError("a checkpoint holds finite values only")
-    RunLog._replace(Path(path), {"epoch": epoch, "knobs": dict(knobs), "order": list(knobs), "state": {k: list(v) for k, v in state.items()}})
+    _replace(Path(path), {"epoch": epoch, "knobs": dict(knobs), "order": list(knobs), "state": {k: list(v) for k, v in state.items()}})
 
 
 def load_checkpoint(path: str | Path, knobs: Sequence[str]) -> tuple[int, dict[str, float], dict[str, list[float]]]:

@@ -174,7 +174,10 @@ def test_degenerate_directions_are_named():
     report = solvers.degeneracy(j.T @ j, ["a", "b", "c", "dead"])
     assert report.rank == 2 and report.condition == INF and report.insensitive == ("dead",)
     assert any({n for n, _ in parts} == {"a", "b"} for _, parts in report.directions)
-    assert solvers.refinement_order(5) == [0, 4, 2, 1, 3]
+    assert solvers.constrained_least(np.diag([4.0, 9.0, 1.0]), ["a", "b", "c"], 2) == [("b", 3.0), ("a", 2.0)]
+    assert solvers.expand({"b": 2.0}, ["a", "b"]).tolist() == [0.0, 2.0]
+    with pytest.raises(ValueError, match="unknown"):
+        solvers.expand({"c": 1.0}, ["a"])
 
 
 def test_priors():

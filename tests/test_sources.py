@@ -51,10 +51,11 @@ def test_text_tables(spark, tmp_path):
 
 def test_run_log_with_cut_tails(spark, tmp_path):
     folder = tmp_path / "runs" / "one"
-    log = run_logs.RunLog(folder, ["a", "b"])
-    log.begin("fit", {"seed": "1"})
-    for step, loss in ((-1, 10.0), (0, 9.0), (1, 9.5), (2, 8.0)):
-        log.log(step, {"a": step, "b": 2 * step}, loss=loss, new_best=loss < 9.2)
+    folder.mkdir(parents=True)
+    steps = [(-1, 10.0), (0, 9.0), (1, 9.5), (2, 8.0)]
+    (folder / "stage.json").write_text(json.dumps({"name": "fit", "started": 1.0, "knob_names": ["a", "b"], "metadata": {"seed": "1"}}))
+    (folder / "history.jsonl").write_text("".join(json.dumps({"step": k, "loss": x, "new_best": x < 9.2}) + "\n" for k, x in steps))
+    (folder / "knobs.f64").write_bytes(b"".join(struct.pack("<3d", k, k, 2 * k) for k, _ in steps))
     with (folder / "history.jsonl").open("a") as f:
         f.write('{"step": 3, "lo')
     with (folder / "knobs.f64").open("ab") as f:
@@ -63,11 +64,6 @@ def test_run_log_with_cut_tails(spark, tmp_path):
     assert history == [(-1, 10.0), (0, 9.0), (1, 9.5), (2, 8.0)]
     knobs = {(r.step, r.knob): r.value for r in run_logs.read_knob_rows(spark, str(folder / "knobs.f64"), ["a", "b"]).collect()}
     assert knobs[2, "a"] == 7 and knobs[1, "b"] == 2 and len(knobs) == 8
-    log.begin("fit", resume_step=1)
-    assert [json.loads(x)["step"] for x in (folder / "history.jsonl").read_text().splitlines()] == [-1, 0]
-    assert run_logs.read_knob_rows(spark, str(folder / "knobs.f64"), ["a", "b"]).count() == 4
-    with pytest.raises(ValueError, match="other knobs"):
-        run_logs.RunLog(folder, ["a"]).begin("fit", resume_step=1)
     stages = run_logs.read_stages(spark, [str(tmp_path / "runs")])
     assert [(r.name, r.knob_names, r.metadata) for r in stages.collect()] == [("fit", ["a", "b"], {"seed": "1"})]
     here = stages.select("path")
@@ -75,11 +71,44 @@ def test_run_log_with_cut_tails(spark, tmp_path):
     assert run_logs.unfinished(stages, here, here, "fit").count() == 0
 
 
+def test_a_run_resumes_without_cutting_files(spark, tmp_path):
+    folder = str(tmp_path / "run")
+
+    def add(attempt, rows):
+        run_logs.append_steps(spark.createDataFrame(rows, "step long, loss double"), folder, attempt)
+
+    first = run_logs.begin_attempt(spark, folder, "fit", ["a", "b"])
+    add(first, [(0, 9.0), (1, 9.5)])
+    add(first, [(2, 8.0), (3, 7.0)])
+    second = run_logs.begin_attempt(spark, folder, "fit", ["a", "b"], resume_step=2)
+    add(second, [(2, 6.0)])
+    third = run_logs.begin_attempt(spark, folder, "fit", ["a", "b"], resume_step=1)
+    assert (first, second, third) == (0, 1, 2)
+    assert [tuple(r) for r in run_logs.current_steps(spark, folder).orderBy("step").collect()] == [(0, 9.0)]
+    add(third, [(1, 5.0), (2, 4.0)])
+    assert [tuple(r) for r in run_logs.current_steps(spark, folder).orderBy("step").collect()] == [(0, 9.0), (1, 5.0), (2, 4.0)]
+    with pytest.raises(ValueError, match="other knobs"):
+        run_logs.begin_attempt(spark, folder, "fit", ["a"], resume_step=1)
+
+
 def test_a_bad_line_ends_the_history(spark, tmp_path):
     (tmp_path / "h.jsonl").write_text('{"step": 0, "loss": 1.0}\nnot json\n{"step": 1, "loss": 0.5}\n')
     assert [r.step for r in run_logs.read_history(spark, str(tmp_path / "h.jsonl")).collect()] == [0]
 
 
+def test_files_keep_their_own_index(spark, tmp_path):
+    names = ["run1", "run10", "run 1+a", "folder"]
+    paths = [str(tmp_path / n) for n in names]
+    for k, path in enumerate(paths):
+        row = ("BPM.01", k, 0, *[float(k)] * 8)
+        measurement_files.write_measurements(spark.createDataFrame([row] * 2, measurement_files.SCHEMA).coalesce(1), path)
+    # One file by its own name, one by a relative way to its folder.
+    inside = next(str(f) for f in (tmp_path / "run10").iterdir() if f.suffix == ".parquet")
+    given = [paths[2], inside, paths[0], str(tmp_path / "run1" / ".." / "folder")]
+    got = sorted((r.file_idx, r.turn) for r in measurement_files.read_measurements(spark, given).collect())
+    assert got == [(0, 2), (0, 2), (1, 1), (1, 1), (2, 0), (2, 0), (3, 3), (3, 3)]
+
+
 def test_checkpoints(tmp_path):
     path = tmp_path / "c.json"
     run_logs.save_checkpoint(path, 3, {"a": 1.0, "b": 2.0}, {"mean": [0.1, 0.2]})
