@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ def range_points(ranges: DataFrame, ring: DataFrame, size: int) -> DataFrame:
     return steps.join(ring, "ring_pos").drop("sp", "ep", "step")
 
 
-def reroute(ranges: DataFrame, ring: DataFrame, before: str, after: str) -> DataFrame:
-    """Ranges whose forward span holds both markers swap start and end; then each (start, end, sdir) once."""
+def reroute(ranges: DataFrame, ring: DataFrame, before: str, after: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Ranges whose forward span holds both markers swap start and end; then each (keys, start, end, sdir) once."""
     names = ring.select("name", "ring_pos")
     marks = names.where(F.col("name").isin(before, after)).agg(
         F.max(F.when(F.col("name") == before, F.col("ring_pos"))).alias("bp"),
@@ -56,6 +58,7 @@ def reroute(ranges: DataFrame, ring: DataFrame, before: str, after: str) -> Data
     crosses = in_range(F.col("bp"), F.col("sp"), F.col("ep")) & in_range(F.col("ap"), F.col("sp"), F.col("ep"))
     crosses = F.coalesce(crosses, F.lit(False))
     return placed.select(
+        *keys,
         F.when(crosses, F.col("end")).otherwise(F.col("start")).alias("start"),
         F.when(crosses, F.col("start")).otherwise(F.col("end")).alias("end"),
         "sdir",

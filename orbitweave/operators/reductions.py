@@ -6,7 +6,7 @@ matrices travel as (a, b, value) entries of their lower triangle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +14,35 @@ from pyspark.sql import functions as F
 from orbitweave.functions.missing import INFINITE, present, weight
 
 
-def with_global_weights(rows: DataFrame, variance: str = "variance") -> DataFrame:
-    """Adds ``weight``: inverse variance over the largest one of all rows; a scale of 1 if none is positive."""
+def with_global_weights(rows: DataFrame, variance: str = "variance", active: Column | None = None) -> DataFrame:
+    """Adds ``weight``: inverse variance over the largest one of all ``active`` rows; a scale of 1 if none is positive.
+
+    Rows that are not active are on the same scale, and may exceed 1.
+    """
     raw = rows.withColumn("raw", weight(F.col(variance)))
-    scale = raw.agg(F.max("raw").alias("scale"))  # one row
+    scale = raw.agg(F.max("raw" if active is None else F.when(active, F.col("raw"))).alias("scale"))  # one row
     joined = raw.join(F.broadcast(scale))
     return joined.withColumn("weight", F.col("raw") / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0)).drop("raw", "scale")
 
 
+def kept_sums(rows: DataFrame, keys: Sequence[str], residual: Column, weight_col: str, particles: int = 1) -> DataFrame:
+    """(keys, n_kept, loss, grad): sums over readings of positive weight, by their number and, the loss, by particles too."""
+    kept, w = F.count_if(F.col(weight_col) > 0), F.col(weight_col)
+    points = F.greatest(kept, F.lit(1))
+    return rows.groupBy(*keys).agg(
+        kept.alias("n_kept"), (F.sum(w * residual * residual) / (particles * points)).alias("loss"), (F.sum(2 * w * residual) / points).alias("grad")
+    )
+
+
+def against_reference(signal: DataFrame, reference: DataFrame, keys: Sequence[str], relative: Mapping[str, bool]) -> DataFrame:
+    """A row per signal and plane with ``residual``: less the reference of the same keys where the plane is relative."""
+    shared = reference.select(*keys, *(F.col(p).alias(f"{p}_reference") for p in relative))
+    each = [
+        F.struct(F.lit(p).alias("plane"), (F.col(p) - F.col(f"{p}_reference") if off else F.col(p)).alias("residual")) for p, off in relative.items()
+    ]
+    return signal.join(shared, list(keys)).select("*", F.inline(F.array(*each)))
+
+
 def normalisation(rows: DataFrame, weight_col: str = "weight") -> DataFrame:
     """One row: the largest weight as ``scale`` (1 if none is positive) and the number of non-zero weights, at least 1."""
     largest = F.max(weight_col)
