@@ -26,6 +26,7 @@ from .tokens import count_ids
 LEVELS = ("domain", "lang", "source")
 #: Each level cuts a cell of the seeded order into 64: after three, 262,144 cells a source.
 CELL_LEVELS = 3
+_PIECE_DOCS = 256
 
 
 def deal(children: DataFrame, budgets: DataFrame, parent: list[str]) -> DataFrame:
@@ -102,7 +103,10 @@ def _counted(rows: DataFrame, tokenizer: str | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = pa.array(count_ids(batch.column("text").to_pylist(), tokenizer), pa.int64())
+            texts, counted = batch.column("text"), []
+            for at in range(0, len(batch), _PIECE_DOCS):
+                counted += count_ids(texts.slice(at, _PIECE_DOCS).to_pylist(), tokenizer)
+            counts = pa.array(counted, pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), counts], [*names, "tokens"])
 
     bare = rows.withColumn("text", F.col("text").cast("binary"))

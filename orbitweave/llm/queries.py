@@ -17,7 +17,6 @@ from .quality import quality_scores
 from .recipes import MIX_SHARE, domain_of, source_weights
 from .threshold_topk import top_inner_products
 from .token_files import read_token_files, write_token_files
-from .tokens import default_tokenizer
 from .url_rules import host_rule, judge_urls, word_rule
 
 #: Fixed rules of the URL query: host and path, then whole words of the method's own.
@@ -85,10 +84,10 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that mixing takes from ``documents`` in up to two epochs."""
+    """The rows that mixing takes from ``documents`` in up to two epochs, by words; the pipeline counts a tokenizer's ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = domain_of(F.col("source")), F.col("lang"), F.col("source")
-    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, max_epochs=2, tokenizer=default_tokenizer())
+    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, max_epochs=2)
     return mixed.select("doc_id", F.col("mix_epoch").alias("epoch"), domain_of(F.col("source")).alias("domain"), "lang", "source")
 
 
