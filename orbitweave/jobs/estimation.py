@@ -8,27 +8,28 @@ from pyspark.sql import functions as F
 from orbitweave.functions.names import family, result_name
 from orbitweave.functions.schedules import learning_rate
 from orbitweave.jobs.registry import query
-from orbitweave.jobs.views import JAC, MEAS, STEPS, jacobians, measurements, steps, table
+from orbitweave.jobs.views import JAC, JAC_ALL, MEAS, STEPS, jacobians, measurements, steps, table
 from orbitweave.operators import history, machine, orbit, reductions, screening
 
 
 @query(f"""
-WITH {JAC}
-SELECT CAST(k - 1 AS INTEGER) AS k, round(sum(2.0 * w * (-target) * j[k]), 6) AS grad FROM jac, generate_series(1, 4) g(k) GROUP BY k
+WITH {JAC_ALL}
+SELECT CAST(k - 1 AS INTEGER) AS k, round(sum(2.0 * w * (-target) * j[k]), 6) AS grad FROM (SELECT *, unnest(generate_series(1, len(j))) AS k FROM jac) GROUP BY k
 """)
 def gradient_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the weighted loss at zero knobs."""
-    return reductions.gradient(jacobians(spark, sf_dir), "jac", -F.col("target")).select("k", F.round("grad", 6).alias("grad"))
+    return reductions.gradient(jacobians(spark, sf_dir, None), "jac", -F.col("target")).select("k", F.round("grad", 6).alias("grad"))
 
 
 @query(f"""
-WITH {JAC}
-SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(sum(w * j[a] * j[b]), 6) AS value
-FROM jac, generate_series(1, 4) x(a), generate_series(1, 4) y(b) WHERE b <= a GROUP BY a, b
+WITH {JAC_ALL},
+l AS (SELECT vec_id, w, j, unnest(generate_series(1, len(j))) AS a FROM jac WHERE w > 0),
+p AS (SELECT a, w * j[a] AS wj, j, unnest(generate_series(1, a)) AS b FROM l)
+SELECT CAST(a - 1 AS INTEGER) AS a, CAST(b - 1 AS INTEGER) AS b, round(sum(wj * j[b]), 5) AS value FROM p GROUP BY a, b
 """)
 def normal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lower triangle of the normal matrix."""
-    return reductions.normal_matrix(jacobians(spark, sf_dir), "jac").select("a", "b", F.round("value", 6).alias("value"))
+    """Lower triangle of the normal matrix of all knobs."""
+    return reductions.normal_matrix(jacobians(spark, sf_dir, None), "jac").select("a", "b", F.round("value", 5).alias("value"))
 
 
 _MERGED = f"""
@@ -85,7 +86,7 @@ def reply_reduction_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIAG = """
 WITH diag AS (
   SELECT l_suppkey % 10 AS worker_id, l_partkey % 50 AS name, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS loss
-  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+  FROM lineitem GROUP BY 1, 2),
 z AS (
   SELECT worker_id, name, loss, (loss - avg(loss) OVER w) / nullif(stddev_pop(loss) OVER w, 0) AS raw FROM diag WINDOW w AS (PARTITION BY worker_id)),
 masks AS (SELECT worker_id, name, loss, greatest(coalesce(raw, 0), 0) AS z FROM z)
@@ -93,7 +94,7 @@ masks AS (SELECT worker_id, name, loss, greatest(coalesce(raw, 0), 0) AS z FROM
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    rows = table(spark, sf_dir, "lineitem")
     loss = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
     return rows.groupBy((F.col("l_suppkey") % 10).alias("worker_id"), (F.col("l_partkey") % 50).alias("name")).agg(loss.alias("loss"))
 

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitweave.jobs.registry import query
-from orbitweave.jobs.views import jacobians
+from orbitweave.functions.missing import weight
+from orbitweave.jobs.estimation import _MERGED, merged
+from orbitweave.jobs.views import MEAS, MONITORS, NOISE, jacobians, measurements, noise, ring
 from orbitweave.operators import reductions
-from orbitweave.operators.provider import LinearRing, evaluate
 from orbitweave.operators.solvers import Degeneracy, Evaluation, Outcome, add_prior, covariance, degeneracy, eliminate_gains, levenberg_marquardt, sandwich
 
 
@@ -60,37 +61,25 @@ class Fit:
     degeneracy: Degeneracy
 
 
-def fit_ring(
-    readings: DataFrame, particles: DataFrame, ring: LinearRing, fitted: Sequence[str], turns: int = 1,
-    observables: Sequence[str] = ("x", "y"), prior: float = 0.0, steps: int = 20,
-) -> Fit:
-    """Knobs of ``ring`` from readings (worker_id, particle, point, observable, measured, weight) of tracked particles."""
-    chosen = [ring.knobs.index(k) for k in fitted]
-    readings = readings.select("worker_id", "particle", "point", "observable", "measured", "weight").cache()
-    picked = F.array(*(F.col("jac")[c] for c in chosen))
+def fit_linear(readings: DataFrame, response: DataFrame, knobs: Sequence[str], prior: float = 0.0, steps: int = 20) -> Fit:
+    """Knobs of a linear machine from ``readings`` (name, measured, weight) and each monitor's derivatives, ``response`` (name, jac).
 
-    def whole(values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ring.knobs))
-        out[chosen] = values
-        return out
-
-    def joined(values: np.ndarray) -> DataFrame:
-        model = evaluate(particles, ring, whole(values), observables, turns)
-        rows = model.join(readings, ["worker_id", "particle", "point", "observable"])
-        return rows.select(picked.alias("jac"), (F.col("value") - F.col("measured")).alias("residual"), F.when(F.col("failed"), 0.0).otherwise(F.col("weight")).alias("weight"))
+    The response is a row per monitor and joined to the readings once; a step sends only the knobs out.
+    """
+    rows = readings.join(response, "name").select("jac", "measured", "weight").cache()
 
     def at(values: np.ndarray) -> Evaluation:
-        loss, gradient, normal = gauss_newton_sums(joined(values), len(chosen))
-        alphas = np.full(len(chosen), prior)
-        return add_prior(Evaluation(loss, gradient, 2 * normal), alphas, values)
+        model = sum((F.col("jac")[k] * float(v) for k, v in enumerate(values)), F.lit(0.0))
+        loss, gradient, normal = gauss_newton_sums(rows.withColumn("residual", model - F.col("measured")), len(knobs))
+        return add_prior(Evaluation(loss, gradient, 2 * normal), np.full(len(knobs), prior), values)
 
     try:
-        outcome = levenberg_marquardt(at, np.zeros(len(chosen)), steps=steps, damping=1e-9, loss_limit=1e-10)
-        normal = gauss_newton_sums(joined(outcome.values), len(chosen))[2]
+        outcome = levenberg_marquardt(at, np.zeros(len(knobs)), steps=steps, damping=1e-9, loss_limit=1e-12)
+        normal = gauss_newton_sums(rows.withColumn("residual", F.lit(0.0)), len(knobs))[2]
     finally:
-        readings.unpersist()
-    sigma = np.sqrt(np.diag(covariance(normal + np.eye(len(chosen)) * prior / 2)))
-    return Fit(tuple(fitted), outcome, sigma, degeneracy(normal, list(fitted)))
+        rows.unpersist()
+    sigma = np.sqrt(np.diag(covariance(normal + np.eye(len(knobs)) * prior / 2)))
+    return Fit(tuple(knobs), outcome, sigma, degeneracy(normal, list(knobs)))
 
 
 def _rows(spark: SparkSession, columns: dict[str, Sequence]) -> DataFrame:
@@ -100,7 +89,7 @@ def _rows(spark: SparkSession, columns: dict[str, Sequence]) -> DataFrame:
 @query()
 def lm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four linear knobs fitted to the readings by damped Gauss-Newton steps."""
-    base = jacobians(spark, sf_dir)
+    base = jacobians(spark, sf_dir).cache()
 
     def at(values: np.ndarray) -> Evaluation:
         model = sum((F.col("jac")[k] * float(v) for k, v in enumerate(values)), F.lit(0.0))
@@ -109,6 +98,7 @@ def lm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = levenberg_marquardt(at, np.zeros(4), damping=1e-6, steps=8, loss_limit=1e-9)
     sigma = np.sqrt(np.diag(covariance(gauss_newton_sums(base.withColumn("residual", F.lit(0.0)), 4)[2])))
+    base.unpersist()
     return _rows(spark, {"knob": [f"k{i}" for i in range(4)], "value": found.values, "sigma": sigma, "loss": [found.loss] * 4})
 
 
@@ -141,11 +131,17 @@ def schur_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, {"name": [f"k{i}" for i in range(4)] + names, "step": np.concatenate([step, gains])})
 
 
-@query()
+@query(_MERGED + """,
+m AS (
+  SELECT sum(g0 * g0) AS n00, sum(g0 * g1) AS n01, sum(g1 * g1) AS n11,
+         sum(v * g0 * g0) AS m00, sum(v * g0 * g1) AS m01, sum(v * g1 * g1) AS m11
+  FROM (SELECT *, CASE WHEN isinf(variance) THEN 0 ELSE variance END AS v FROM merged)),
+d AS (SELECT *, n00 * n11 - n01 * n01 AS det FROM m)
+SELECT 'k0' AS knob, round(sqrt(n11 * n11 * m00 - 2 * n11 * n01 * m01 + n01 * n01 * m11) / det, 9) AS sigma FROM d
+UNION ALL SELECT 'k1', round(sqrt(n01 * n01 * m00 - 2 * n01 * n00 * m01 + n00 * n00 * m11) / det, 9) FROM d
+""")
 def sandwich_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standard deviations of two knobs whose workers share readings."""
-    from orbitweave.jobs.estimation import merged
-
     readings = merged(spark, sf_dir)
     size = 2
 
@@ -157,24 +153,28 @@ def sandwich_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     normal = matrix(reductions.normal_matrix(readings.withColumn("w", F.lit(1.0)), "g", "w"))
     sigma = np.sqrt(np.diag(sandwich(normal, matrix(reductions.noise_matrix(readings)))))
-    return _rows(spark, {"knob": ["k0", "k1"], "sigma": sigma})
+    return _rows(spark, {"knob": ["k0", "k1"], "sigma": np.round(sigma, 9)})
 
 
-@query()
+#: Tune and the ring positions of two kicks; the orbit that they are fitted against is flat.
+TUNE, KICKS, FLAT = 0.31, (3, 9), 250.0
+_RESPONSE = [f"cos(abs(ring_pos - {at}) * {float(2 * np.pi * TUNE / MONITORS)!r} - {float(np.pi * TUNE)!r}) / {float(2 * np.sin(np.pi * TUNE))!r}" for at in KICKS]
+
+
+@query(f"""
+WITH {MEAS}, {NOISE},
+j AS (
+  SELECT m.x - {FLAT} AS r, CASE WHEN n.std > 0 THEN 1.0 / (n.std * n.std) ELSE 0.0 END AS w, CAST({_RESPONSE[0]} AS DOUBLE) AS a, CAST({_RESPONSE[1]} AS DOUBLE) AS b
+  FROM meas m JOIN noise n ON n.name = m.name WHERE m.x IS NOT NULL),
+s AS (SELECT sum(w * a * a) AS aa, sum(w * a * b) AS ab, sum(w * b * b) AS bb, sum(w * a * r) AS ar, sum(w * b * r) AS br FROM j),
+d AS (SELECT *, aa * bb - ab * ab AS det FROM s)
+SELECT 'kick3' AS knob, round((ar * bb - br * ab) / det, 5) AS value, round(sqrt(bb / det), 8) AS sigma FROM d
+UNION ALL SELECT 'kick9', round((br * aa - ar * ab) / det, 5), round(sqrt(aa / det), 8) FROM d
+""")
 def ring_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two kicks of a linear ring from particles whose starts come from ``embeddings``, readings with known truth."""
-    ring = LinearRing()
-    starts = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") / 1000)
-    particles = jacobian_particles(spark, sf_dir, starts)
-    truth = np.zeros(len(ring.knobs))
-    fitted = ["h3.kick", "v9.kick"]
-    truth[[ring.knobs.index(k) for k in fitted]] = [2e-4, -1e-4]
-    data = evaluate(particles, ring, truth, ("x", "y"))
-    readings = data.select("worker_id", "particle", "point", "observable", F.col("value").alias("measured"), F.lit(1.0).alias("weight"))
-    fit = fit_ring(readings, particles, ring, fitted)
-    return _rows(spark, {"knob": list(fit.knobs), "value": np.round(fit.outcome.values, 9), "sigma": np.round(fit.sigma, 9)})
-
-
-def jacobian_particles(spark: SparkSession, sf_dir: str, starts) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return rows.select((F.col("vec_id") % 8).alias("worker_id"), F.col("vec_id").alias("particle"), starts.alias("start"))
+    """Two kicks fitted to the measured orbit of all readings, by each monitor's closed-orbit response."""
+    stds = noise(spark, sf_dir).select(F.upper("name").alias("name"), weight(F.col("std") * F.col("std")).alias("weight"))
+    readings = measurements(spark, sf_dir).where("x is not null").select("name", (F.col("x") - FLAT).alias("measured")).join(stds, "name")
+    response = ring(spark).select("name", F.array(*(F.expr(f"cast({r} as double)") for r in _RESPONSE)).alias("jac"))
+    fit = fit_linear(readings, response, ["kick3", "kick9"])
+    return _rows(spark, {"knob": list(fit.knobs), "value": np.round(fit.outcome.values, 5), "sigma": np.round(fit.sigma, 8)})

@@ -65,10 +65,10 @@ noise AS (
   FROM nation WHERE n_nationkey < 16)"""
 
 
-def jacobians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, jac, target, weight) from ``embeddings``: four derivatives each, every seventh reading without weight."""
+def jacobians(spark: SparkSession, sf_dir: str, knobs: int | None = 4) -> DataFrame:
+    """(vec_id, jac, target, weight) from ``embeddings``: derivatives by the first knobs or all, every seventh reading without weight."""
     rows = table(spark, sf_dir, "embeddings")
-    jac = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    jac = F.transform(F.slice("embedding", 1, knobs) if knobs else "embedding", lambda x: x.cast("double"))
     return rows.select(
         "vec_id", jac.alias("jac"), F.col("label").cast("double").alias("target"), F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(1.0).alias("weight")
     )
@@ -81,6 +81,9 @@ jac AS (
   FROM embeddings)"""
 
 
+JAC_ALL = JAC.replace("[1:4]", "")
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, step, loss) from ``conversations``; of a repeated step the longest text counts."""
     rows = table(spark, sf_dir, "conversations")

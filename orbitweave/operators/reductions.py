@@ -6,8 +6,10 @@ matrices travel as (a, b, value) entries of their lower triangle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +70,28 @@ def gradient(rows: DataFrame, jacobian: str, residual: Column, weight_col: str =
 
 
 def normal_matrix(rows: DataFrame, jacobian: str, weight_col: str = "weight") -> DataFrame:
-    """(a, b, value), a >= b from 0: the lower triangle of the weighted sum of outer products."""
-    left = rows.select(weight_col, jacobian, F.posexplode(jacobian).alias("a", "ja"))
-    both = left.select("a", (F.col(weight_col) * F.col("ja")).alias("wj"), F.posexplode(F.slice(jacobian, F.lit(1), F.col("a") + 1)).alias("b", "jb"))
-    return both.groupBy("a", "b").agg(F.sum(F.col("wj") * F.col("jb")).alias("value"))
+    """(a, b, value), a >= b from 0: the lower triangle of the weighted sum of outer products.
+
+    A task adds its readings up as one matrix, so what is shuffled are pairs of knobs
+    per task and not per reading. Readings with a null weight or derivative count nothing.
+    """
+
+    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in parts:
+            w, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            for size in np.unique(lengths):
+                own = np.repeat(lengths == size, lengths)
+                j = flat[own].reshape(-1, size)
+                sums[size] = sums.get(size, 0.0) + (j * w[lengths == size, None]).T @ j
+        for matrix in sums.values():
+            at, to = np.tril_indices(len(matrix))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(matrix[at, to])], ["a", "b", "v"])
+
+    usable = rows.where(F.col(weight_col).isNotNull() & F.col(jacobian).isNotNull() & ~F.exists(jacobian, lambda x: x.isNull()))
+    each = usable.select(F.col(weight_col).cast("double"), F.col(jacobian).cast("array<double>"))
+    return each.mapInArrow(partial, "a int, b int, v double").groupBy("a", "b").agg(F.sum("v").alias("value"))
 
 
 def merge_readings(parts: DataFrame, size: int) -> DataFrame:

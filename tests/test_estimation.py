@@ -5,9 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orbitweave.jobs.fits import fit_ring, gauss_newton_sums
+from orbitweave.jobs.fits import fit_linear, gauss_newton_sums
 from orbitweave.operators import history, machine, orbit, reductions, screening, solvers
-from orbitweave.operators.provider import LinearRing, evaluate
 
 INF, NAN = float("inf"), float("nan")
 
@@ -189,33 +188,20 @@ def test_priors():
 # --- model ------------------------------------------------------------------------------------
 
 
-def test_ring_derivatives_match_differences():
-    ring = LinearRing(monitors=6)
-    rng = np.random.default_rng(1)
-    values, start = rng.normal(size=18) * 1e-3, rng.normal(size=4) * 1e-3
-    z, dz, ds = ring.track(start, values, turns=2)
-    orbit_, response = ring.closed_orbit(values)
-    for k in range(18):
-        step = np.zeros(18)
-        step[k] = 1e-6
-        up, down = ring.track(start, values + step, 2)[0], ring.track(start, values - step, 2)[0]
-        assert np.allclose(dz[:, :, k], (up - down) / 2e-6, atol=1e-6)
-        up, down = ring.closed_orbit(values + step)[0], ring.closed_orbit(values - step)[0]
-        assert np.allclose(response[:, :, k], (up - down) / 2e-6, atol=1e-5)
-    turned, _, _ = ring.track(orbit_[-1], values)
-    assert np.allclose(turned[-1], orbit_[-1], atol=1e-12)
-    assert np.allclose(ds[0] @ start + ring.track(np.zeros(4), values)[0][0], z[0], atol=1e-9)
-
-
 def test_fit_recovers_known_errors(spark):
-    ring = LinearRing(monitors=8)
-    rng = np.random.default_rng(2)
-    table = {"worker_id": [k % 2 for k in range(6)], "particle": list(range(6)), "start": list(rng.normal(size=(6, 4)) * 1e-3)}
-    particles = spark.createDataFrame(pa.table(table))
-    fitted = ["q2.dk1l", "h5.kick", "v1.kick"]
-    truth = np.zeros(24)
-    truth[[ring.knobs.index(k) for k in fitted]] = [1e-3, 2e-4, -1e-4]
-    data = evaluate(particles, ring, truth, ("x", "y"), 2)
-    readings = data.select("worker_id", "particle", "point", "observable", F.col("value").alias("measured"), F.lit(1e6).alias("weight"))
-    fit = fit_ring(readings, particles, ring, fitted, turns=2)
-    assert np.allclose(fit.outcome.values, [1e-3, 2e-4, -1e-4], rtol=1e-5) and fit.degeneracy.rank == 3
+    """Two kicks from noisy readings of 400 turns, with absent readings and derivatives, and a knob that nothing shows."""
+    rng = np.random.default_rng(7)
+    jac = {f"m{k}": [float(np.cos(k)), float(np.sin(1.7 * k)), 0.0] for k in range(12)}
+    truth = np.array([2e-4, -1e-4, 0.0])
+    rows = [(n, float(np.dot(j, truth) + 1e-6 * rng.normal()), 1e12) for n, j in jac.items() for _ in range(400)]
+    rows += [("m1", None, 1e12), ("m2", 5.0, 0.0), ("m3", 1.0, None), ("other", 9.0, 1.0), ("blank", 9.0, 1.0)]
+    response = spark.createDataFrame([*jac.items(), ("blank", None)], "name string, jac array<double>")
+    fit = fit_linear(spark.createDataFrame(rows, "name string, measured double, weight double"), response, ["a", "b", "dead"], prior=1.0)
+    assert np.allclose(fit.outcome.values, truth, atol=5 * fit.sigma[0]) and fit.degeneracy.insensitive == ("dead",)
+    assert fit.sigma[0] < 1e-7
+
+
+def test_normal_matrix_counts_only_whole_readings(spark):
+    rows = [(1.0, [1.0, 2.0]), (2.0, [0.5, -1.0]), (None, [9.0, 9.0]), (1.0, None), (1.0, [None, 1.0]), (0.0, [7.0, 7.0])]
+    got = reductions.normal_matrix(spark.createDataFrame(rows, "weight double, jac array<double>"), "jac").collect()
+    assert {(r.a, r.b): r.value for r in got} == {(0, 0): 1.5, (1, 0): 1.0, (1, 1): 6.0}
