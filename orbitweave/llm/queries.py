@@ -17,9 +17,9 @@ from .quality import quality_scores
 from .recipes import MIX_SHARE, domain_of, source_weights
 from .threshold_topk import top_inner_products
 from .token_files import read_token_files, write_token_files
-from .url_rules import host_rule, judge_urls, word_rule
+from .url_rules import glob_rule, host_rule, judge_urls, rule_table, word_rule
 
-#: Fixed rules of the URL query: host and path, then whole words of the method's own.
+#: Rules of the URL query: the fixed ones of host and path, then words and patterns of the method's own.
 HOST_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -33,6 +33,9 @@ BLOCK_WORDS = [
 ]
 
 
+BLOCK_GLOBS = ["*/wp-{admin,login,content}/*", "*/free-*-bonus/*", "*.casino.*/*", "*/{cgi-bin,phpmyadmin}/*.{php,cgi}", "track.*/click/*/out*"]
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` in sequences of at most 4096 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -98,8 +101,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every URL of ``pages``."""
-    rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in BLOCK_WORDS]
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+    rules = [host_rule(*r) for r in HOST_RULES] + [word_rule(w) for w in BLOCK_WORDS] + [glob_rule(g) for g in BLOCK_GLOBS]
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, rules))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +138,7 @@ fits AS (
   GROUP BY page_id, p.host, p.path)
 SELECT page_id, host, path, rule,
        coalesce(action, CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({"|".join(BLOCK_WORDS)})([^a-z0-9]|$)')
+                             OR regexp_matches(host || path, '{"|".join(glob_rule(g).pattern for g in BLOCK_GLOBS)}')
                              THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits
 """

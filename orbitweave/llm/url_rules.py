@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +49,31 @@ def word_rule(words: str, action: str = "block") -> UrlRule:
     return UrlRule(words, action, f"(?:^|[^a-z0-9])(?i:{words})(?:[^a-z0-9]|$)", tokens, len(words), reported=False)
 
 
+def glob_rule(glob: str, action: str = "block") -> UrlRule:
+    """A rule for all of host and path, ``*`` for any text and ``{a,b}`` for one of several; any host rule outranks it.
+
+    Its tokens are the runs outside of braces that neither a star nor a brace can make longer.
+    """
+    parts = re.findall(r"\*|\{[^{}]*\}|[^*{]+|\{", glob)
+    pattern, plain = "", ""
+    for part in parts:
+        if part == "*":
+            pattern, plain = pattern + ".*", plain + "*"
+        elif part[0] == "{" and len(part) > 1:
+            pattern += "(?:" + "|".join(map(re.escape, part[1:-1].split(","))) + ")"
+            plain += "*"
+        else:
+            pattern, plain = pattern + re.escape(part), plain + part
+    whole = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", plain.lower())
+    return UrlRule(glob, action, rf"(?is)^{pattern}\z", tuple(dict.fromkeys(whole)), len(glob), reported=False)
+
+
+def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
+    """The table that ``judge_urls`` reads, from rules of the driver."""
+    kinds = [("name", pa.string()), ("action", pa.string()), ("pattern", pa.string()), ("tokens", pa.list_(pa.string())), ("rank", pa.int32()), ("reported", pa.bool_())]
+    return spark.createDataFrame(pa.table({n: pa.array([getattr(r, n) for r in rules], k) for n, k in kinds}))
+
+
 def host_and_path(url):
     """The two parts as columns: both empty for a null URL or one without ``://``."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -56,15 +81,16 @@ def host_and_path(url):
     return F.coalesce(F.translate(rest, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[UrlRule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (null if none is reported), verdict.
 
     Without any rule that fits, the verdict is ``allow``. Null, empty and odd URLs
     have empty parts and fit only rules for empty parts; repeated rows get equal
-    verdicts; an empty table or no rules are fine. ``rules`` is a driver-side list
-    and the join on tokens is broadcast only while Spark's size threshold allows.
+    verdicts; an empty table or no rules are fine. ``rules`` is a table of (name, action,
+    pattern, tokens, rank, reported), of any size, or a list for ``rule_table``; a rule
+    with null or no tokens is tried on every URL. Equal rules count once.
     """
-    spark = pages.sparkSession
+    listed = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     places = parts.select("host", "path").distinct()
@@ -72,15 +98,13 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_i
     exploded = places.select(
         "host", "path", F.explode(F.array_union(F.array_distinct(tokens), F.array(F.lit("")))).alias("token")
     )
-    rows = [(k, r.name, r.action, r.pattern, r.rank, r.reported, t) for k, r in enumerate(rules) for t in r.tokens or ("",)]
-    names = ["k", "name", "action", "pattern", "rank", "reported", "token"]
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
-    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-    listed = spark.createDataFrame(pa.table(columns, names=names))
+    rule = ["name", "action", "pattern", "rank", "reported"]
+    whole = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit("")))
+    listed = listed.select(*rule, F.explode(whole).alias("token"))
     held = exploded.join(listed.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("held"))
     index = (
         listed.join(held, "token", "left")
-        .groupBy("k", "name", "action", "pattern", "rank", "reported")
+        .groupBy(*rule)
         .agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "token"))["token"].alias("token"))
     )
     fits = exploded.join(index, "token").where(F.expr("rlike(concat(host, path), pattern)"))

@@ -26,7 +26,7 @@ from orbitweave.llm.shingles import BAND_ROWS, BANDS, SIZE_CLASSES, band_keys, p
 from orbitweave.llm.threshold_topk import top_inner_products
 from orbitweave.llm.token_files import read_token_files, write_token_files
 from orbitweave.llm.tokens import default_tokenizer, encode_words, load
-from orbitweave.llm.url_rules import UrlRule, host_rule, judge_urls, word_rule
+from orbitweave.llm.url_rules import UrlRule, glob_rule, host_rule, judge_urls, rule_table, word_rule
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n string, h string, words string"
 
@@ -546,6 +546,19 @@ def test_url_rules_against_every_rule(spark):
     assert judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_globs_are_found_by_their_rarest_token(spark):
+    globs = ["*/wp-{admin,login}/*", "*/free-*-bonus/*", "track.*/click/*", "*xyz*", "*"]
+    assert [glob_rule(g).tokens for g in globs] == [("wp",), ("free", "bonus"), ("track", "click"), (), ()]
+    urls = ["http://a.org/wp-admin/x", "http://a.org/wp-other/x", "http://a.org/WP-Login/", "http://b.org/free-big-bonus/1", "http://b.org/freebonus/",
+            "http://track.c.org/click/9", "http://d.org/axyzb", "http://e.org/\nwp-admin/ /wp-admin/", None, "http://f.org/"]
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[0]), (0, urls[0])], "page_id long, url string")
+    rules = rule_table(spark, [glob_rule(g) for g in globs[:4]] * 2)
+    got = [(r.page_id, r.verdict) for r in judge_urls(pages, rules).collect()]
+    want = [(k, "block" if k in (0, 2, 3, 5, 6, 7) else "allow") for k in range(len(urls))] + [(None, "block"), (0, "block")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {r.verdict for r in judge_urls(pages, [glob_rule(globs[4])]).collect()} == {"block"}
+
+
 # --- personal data --------------------------------------------------------------------------
 
 
