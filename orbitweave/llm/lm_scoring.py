@@ -2,7 +2,7 @@
 
 1. Tasks cut their documents into batches of about ``batch_words`` words, kept as
    codes into the batch's own vocabulary.
-2. A batch's n-grams (words and pairs of neighbours, by 64-bit hash) are exploded,
+2. A batch's n-grams (words, pairs of neighbours and so on, by 64-bit hash) are exploded,
    combined within the batch and dealt by hash over parts. Each part is one slice of
    the n-gram count table: it adds the batches' counts of its n-grams and answers
    every batch with the totals of the ones it asked for. An n-gram reaches its part
@@ -85,26 +85,32 @@ def _batches(batches: Iterator[pa.RecordBatch], batch_words: int) -> Iterator[pa
         yield closed()
 
 
-def _ngrams(vocabulary: bytes, codes: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, hash of each pair starting at a word, whether that pair lies in one document)."""
+def _ngrams(vocabulary: bytes, codes: bytes, lengths: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For one word to ``order`` words: (hash of the n-gram at each word, places of those that lie in one document)."""
     words = np.frombuffer(vocabulary, np.uint64)[_values(codes, "<i4")]
-    pairs = mix(words[:-1] * _LEFT + words[1:] * _RIGHT) if len(words) else words
-    inside = np.ones(max(0, len(words) - 1), bool)
-    ends = np.cumsum(lengths)[:-1]
-    inside[ends[(ends > 0) & (ends < len(words))] - 1] = False
-    return mix(words * _SINGLE + _LEFT), pairs, inside
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    grams = [(mix(words * _SINGLE + _LEFT), np.arange(len(words)))]
+    longer = words
+    for k in range(1, order):
+        longer = mix(longer[:-1] * _LEFT + words[k:] * _RIGHT) if len(longer) else longer
+        grams.append((longer, np.flatnonzero(doc[: len(longer)] == doc[k:])))
+    return grams
+
+
+def _distinct(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, how often each occurs)."""
+    return np.unique(np.concatenate([g[at] for g, at in grams]), return_counts=True)
 
 
 def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _asked(row_batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _asked(row_batches: Iterator[pa.RecordBatch], parts: int, order: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, batch, grams, counts): a batch's sorted distinct n-grams, cut by part."""
     for batch in row_batches:
         for row in batch.to_pylist():
-            words, pairs, inside = _ngrams(row["vocabulary"], row["codes"], np.array(row["lengths"], np.int64))
-            grams, counts = np.unique(np.concatenate([words, pairs[inside]]), return_counts=True)
+            grams, counts = _distinct(_ngrams(row["vocabulary"], row["codes"], np.array(row["lengths"], np.int64), order))
             part = _part_of(grams, parts)  # ascends with the hash
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = [*cuts[1:], len(grams)]
@@ -130,15 +136,15 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"batch": asked["batch"], "part": asked["part"], "totals": [_planes(t) for t in np.split(totals, ends)]})
 
 
-def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float) -> pd.DataFrame:
+def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float, order: int) -> pd.DataFrame:
     """(id, n_words, score) of a batch's documents."""
     out: list[pd.DataFrame] = []
     for row in held.itertuples():
         lengths = np.array(row.lengths, np.int64)
-        words, pairs, inside = _ngrams(row.vocabulary, row.codes, lengths)
-        n = len(words)
+        grams = _ngrams(row.vocabulary, row.codes, lengths, order)
+        n = len(grams[0][0])
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        known = np.unique(np.concatenate([words, pairs[inside]]))
+        known = _distinct(grams)[0]
         totals = [_values(t, "<i8") for t in answers.sort_values("part")["totals"]]
         counts = np.concatenate([np.zeros(0, np.int64), *totals])
 
@@ -148,34 +154,41 @@ def _scores(held: pd.DataFrame, answers: pd.DataFrame, total: int, alpha: float)
             _, same, own = np.unique(of * np.int64(len(known)) + place, return_inverse=True, return_counts=True)
             return counts[place] - own[same]
 
-        single = elsewhere(words, doc) if n else np.zeros(0)
+        shorter = elsewhere(grams[0][0], doc) if n else np.zeros(0, np.int64)
         rest = np.maximum(total - lengths, 1)[doc]
-        logs = np.where(single > 0, np.log(np.maximum(single, 1) / rest), np.log(alpha / (rest + 1.0)))
-        at = np.flatnonzero(inside)
-        double = elsewhere(pairs[at], doc[at]) if len(at) else np.zeros(0)
-        # A pair that is known elsewhere has its first word there too.
-        seen = double > 0
-        logs[at + 1] = np.where(
-            seen, np.log(np.maximum(double, 1) / np.maximum(single[at], 1)), np.log(alpha) + logs[at + 1]
-        )
+        logs = np.where(shorter > 0, np.log(np.maximum(shorter, 1) / rest), np.log(alpha / (rest + 1.0)))
+        for k in range(1, order):
+            hashes, at = grams[k]
+            if not len(at):
+                break
+            found = elsewhere(hashes[at], doc[at])
+            # An n-gram that is known elsewhere has its context there too.
+            logs[at + k] = np.where(
+                found > 0, np.log(np.maximum(found, 1) / np.maximum(shorter[at], 1)), np.log(alpha) + logs[at + k]
+            )
+            shorter = np.zeros(n, np.int64)
+            shorter[at] = found
         out.append(pd.DataFrame({"id": row.ids, "n_words": lengths, "score": np.bincount(doc, logs, len(lengths))}))
     return pd.concat(out) if out else pd.DataFrame({"id": [], "n_words": [], "score": []})
 
 
 def backoff_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, order: int = 2,
     batch_words: int = 1_200_000, part_ngrams: int = 1_000_000,
 ) -> DataFrame:
     """One row per document: id, n_words, score (sum of natural logs), mean_score.
 
-    Words are runs other than ASCII white space with A-Z in lower case. A word after
-    another in its document scores count(pair) / count(first word) if the pair occurs
-    in other documents, else ``alpha`` times its unigram score; the first word has the
-    unigram score count(word) / words, or ``alpha`` / (words + 1) if no other document
-    has it. All counts exclude the document itself but include its copies. Null and
-    empty texts score 0 with a null mean; repeated rows count as documents of their
-    own; null ids are scored like others.
+    Words are runs other than ASCII white space with A-Z in lower case. A word scores
+    count(n-gram) / count(context) for the longest n-gram of at most ``order`` words
+    that ends with it, if that occurs in other documents; else ``alpha`` times its
+    score with a context that is one word shorter. Without context that is
+    count(word) / words, or ``alpha`` / (words + 1) if no other document has the word.
+    All counts exclude the document itself but include its copies. Null and empty texts
+    score 0 with a null mean; repeated rows count as documents of their own; null ids
+    are scored like others; an empty table gives an empty one.
     """
+    if order < 1:
+        raise ValueError("an n-gram has one word at least")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     held = texts.mapInArrow(
@@ -184,13 +197,13 @@ def backoff_scores(
     )
     held = materialize(held, "lm-batches")
     total = held.agg(F.sum("words")).first()[0] or 0
-    parts = max(1, 2 * total // part_ngrams)
+    parts = max(1, order * total // part_ngrams)
     asked = held.select("batch", "lengths", "vocabulary", "codes").mapInArrow(
-        lambda rows: _asked(rows, parts), "part long, batch long, grams binary, counts binary"
+        lambda rows: _asked(rows, parts, order), "part long, batch long, grams binary, counts binary"
     )
     answers = asked.groupBy("part").applyInPandas(_answer, "batch long, part long, totals binary")
     scored = held.drop("words").groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(
-        lambda h, a: _scores(h, a, total, alpha), f"id {kind}, n_words long, score double"
+        lambda h, a: _scores(h, a, total, alpha, order), f"id {kind}, n_words long, score double"
     )
     return scored.select(
         F.col("id").alias(id_col), "n_words", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score")

@@ -96,7 +96,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff scores of all ``documents`` from counts over all of them."""
-    return backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return backoff_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=3)
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -499,29 +499,42 @@ def test_mix_counts_ids_of_a_tokenizer(spark):
 # --- language model -----------------------------------------------------------------------
 
 
-def test_backoff_scores_against_counts(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_scores_against_counts(spark, order):
     texts = [*ODD, "the cat sat on the mat", "the cat ran", "a dog sat on the mat", "the cat ran"]
-    got = {r.doc_id: r for r in backoff_scores(frame(spark, texts).repartition(3), batch_words=40, part_ngrams=500).collect()}
+    docs = frame(spark, texts).repartition(3)
+    got = {r.doc_id: r for r in backoff_scores(docs, order=order, batch_words=40, part_ngrams=500).collect()}
     words = {i: [w.decode() for w in (t or "").encode().lower().split()] for i, t in enumerate(texts)}
-    single, double = Counter(), Counter()
-    for w in words.values():
-        single.update(w)
-        double.update(zip(w, w[1:], strict=False))
-    total = sum(single.values())
+
+    def grams(w):
+        return Counter(tuple(w[j : j + n]) for n in range(1, order + 1) for j in range(len(w) - n + 1))
+
+    all_grams = sum((grams(w) for w in words.values()), Counter())
+    total = sum(map(len, words.values()))
     for i, w in words.items():
-        own1, own2, score, rest = Counter(w), Counter(zip(w, w[1:], strict=False)), 0.0, max(1, total - len(w))
-        for k, x in enumerate(w):
-            c = single[x] - own1[x]
-            log = math.log(c / rest) if c else math.log(0.4 / (rest + 1))
-            if k:
-                pair = (w[k - 1], x)
-                d = double[pair] - own2[pair]
-                log = math.log(d / (single[w[k - 1]] - own1[w[k - 1]])) if d else math.log(0.4) + log
-            score += log
+        own, score, rest = grams(w), 0.0, max(1, total - len(w))
+        for end in range(1, len(w) + 1):
+            for start in range(max(0, end - order), end):
+                gram = tuple(w[start:end])
+                if count := all_grams[gram] - own[gram]:
+                    score += math.log(count / (all_grams[gram[:-1]] - own[gram[:-1]] if gram[:-1] else rest))
+                    break
+                score += math.log(0.4)
+            else:
+                score -= math.log(rest + 1)
         assert got[i].n_words == len(w) and math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-9)
         assert (got[i].mean_score is None) == (not w)
+
+
+def test_backoff_scores_of_odd_tables(spark):
+    ids = [None, None, 7, 7, 7]
+    got = backoff_scores(frame(spark, ["a b c", None, "a b c", "a b c", "z"], ids), order=3).collect()
+    assert sorted((str(r.doc_id), r.n_words) for r in got) == [("7", 1), ("7", 3), ("7", 3), ("None", 0), ("None", 3)]
+    assert len({round(r.score, 9) for r in got if r.n_words == 3}) == 1
     assert backoff_scores(frame(spark, [])).count() == 0
     assert {r.score for r in backoff_scores(frame(spark, [None, ""])).collect()} == {0.0}
+    with pytest.raises(ValueError, match="one word"):
+        backoff_scores(frame(spark, []), order=0)
 
 
 # --- URLs ---------------------------------------------------------------------------------
