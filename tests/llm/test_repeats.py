@@ -2,16 +2,20 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
 
+from orbitweave.llm import collocations as collocations_module
 from orbitweave.llm import periodic_runs as runs_module
+from orbitweave.llm.collocations import collocations
 from orbitweave.llm.periodic_runs import SquareCatchers, periodic_runs
-from orbitweave.llm.repeat_queries import op11_periodic_runs
+from orbitweave.llm.repeat_queries import op11_periodic_runs, op13_phrase_collocations
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,3 +113,60 @@ def test_op11_equals_brute_force_on_short_documents(spark, tmp_path):
     got = {r.doc_id: tuple(r) for r in op11_periodic_runs(spark, str(tmp_path)).collect()}
     assert got == {d: expected_runs(d, t) for d, t in rows}
     assert sum(r[1] > 0 for r in got.values()) > 5
+
+
+# --- collocations ------------------------------------------------------------------
+
+
+def plain_collocations(rows, least=10, percent=50, top=2000):
+    """Ranked phrases from dictionaries of all of them."""
+    counts, sizes = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            sizes[lang or "und" if lang is None else lang] += len(words)
+            for k in (1, 2, 3):
+                counts["und" if lang is None else lang].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        good = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in good.items():
+            if len(p) == 3:
+                for q in (p[:2], p[1:]):
+                    longest[q] = max(longest[q], a)
+        ranked = []
+        for p, a in good.items():
+            if len(p) == 2 and 100 * longest[p] >= percent * a and longest[p]:
+                continue
+            score, _, left, right = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            ranked.append((-score, -a, " ".join(p).encode(), left, right))
+        for i, (score, a, p, left, right) in enumerate(sorted(ranked)[:top]):
+            out.append((lang, i + 1, p.decode(), -a, left, right, sizes[lang], -score))
+    return sorted(out)
+
+
+def test_collocations_of_odd_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["the", "THE", "of", "é", "x\u00a0y", "\0", "z" * 300, "b-c", "ÀB"]
+    def text(n):
+        return "".join(rng.choice(words) + rng.choice([" ", "  ", "\t", ", ", ".", "\n", " \x0b "]) for _ in range(n))
+    rows = [(text(rng.randint(0, 60)), rng.choice(["en", None, "und", ""]), "q", 1) for _ in range(250)]
+    rows += [(None, "en", "q", 1), ("", None, "q", 1), (" .,; ", "leer", "q", 1), ("the of " * 20_000, "en", "q", 1), ("New  York, New York", "fr", "q", 2)] + [("new york city hall", "de", "p", 3)] * 10
+    docs = spark.createDataFrame(rows, "text string, lang string, phrase string, n int").repartition(5)
+    want = plain_collocations([r[:2] for r in rows])
+    assert len(want) > 100
+    assert sorted(map(tuple, collocations(docs).collect())) == want
+    # Small limits: segments of common prefixes, many merges, ranks by parts.
+    for name, value in (("SEGMENT_WORDS", 50), ("HOLD_BYTES", 2000), ("MERGE_ENTRIES", 40)):
+        monkeypatch.setattr(collocations_module, name, value)
+    assert sorted(map(tuple, collocations(docs).collect())) == want
+    assert sorted(map(tuple, collocations(docs, least=3, subsume_percent=90, top=7).collect())) == plain_collocations([r[:2] for r in rows], 3, 90, 7)
+    assert collocations(docs.where("false")).collect() == []
+
+
+def test_op13_equals_brute_force(spark):
+    rows = duckdb.sql(f"SELECT text, lang FROM '{FOLDER}/documents.parquet'").fetchall()
+    got = sorted(map(tuple, op13_phrase_collocations(spark, FOLDER).collect()))
+    assert got == plain_collocations(rows) and len(got) > 100
