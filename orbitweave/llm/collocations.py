@@ -1,14 +1,16 @@
 """Collocations: phrases of two and three words that occur together more often than their parts apart.
 
 Stripes pattern: every prefix keys an associative counter of the words that follow it.
-Tasks count their texts into stripes, one row a prefix word, so that rows carry many
-counters each; equal prefixes meet in a shuffle, and their stripes are merged element
-by element. A merged stripe has a prefix's extensions and its total; the maxima over
-extensions, to the right and to the left, are what shorter phrases are held against.
-
-A prefix may be arbitrarily common. A table of fixed size, words counted by hash
-bucket, says into how many segments the stripes of a bucket's words are cut, so
-that no segment holds more than a share of the text that a task can merge.
+Tasks count their texts into stripes; equal prefixes meet in a shuffle, and their
+stripes are merged element by element. A merged stripe has a prefix's extensions and its
+total; the maxima over extensions, to the right and to the left, are what shorter
+phrases are held against.
+
+Stripes are dealt by hash over parts, and a row carries all stripes that a task has for
+a part, with a dictionary of their words. Parts grow in number with the corpus and never in
+size. A prefix may be arbitrarily common: a table of fixed size, words counted by hash
+bucket, says into how many segments the stripes of a bucket's words are cut, each dealt
+on its own.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(SPACES)] = 1
 _KIND[list(STOPS)] = 2
-#: Hash buckets of words, words that a segment of a stripe may stand for, bytes counted at a time.
-BUCKETS, SEGMENT_WORDS, HOLD_BYTES, MERGE_ENTRIES = 16_384, 2_000_000, 24 << 20, 1_500_000
-_STRIPES = "lang string, prefix binary, width int, segment int, total long, middle binary, runs array<int>, next binary, n array<int>"
+#: Hash buckets of words, words that a part and a segment of a stripe may stand for, bytes counted and merged at a time.
+BUCKETS, PART_WORDS, HOLD_BYTES, MERGE_BYTES = 16_384, 2_000_000, 16 << 20, 8 << 20
+#: Columns of a row of stripes, 32-bit numbers each: prefixes of one word and totals, extensions of one word and of two.
+_PLANES = ("p1", "total", "p2", "q2", "n2", "p3", "q3", "r3", "n3")
+_STRIPES = "part long, lang string, words binary, " + ", ".join(f"{c} binary" for c in _PLANES)
 _COUNTS = "width int, lang string, w1 binary, w2 binary, w3 binary, n long"
 
 
@@ -82,170 +86,120 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total[filled])], ["bucket", "n"])
 
 
-def _joined(words: pa.Array, codes: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Words of ``codes``, cut at ``ends`` and joined by spaces."""
-    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), words.take(pa.array(codes)))
-    return pc.binary_join(lists, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
+def _planes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """32-bit numbers cut at ``ends``, as binary."""
+    offsets = np.concatenate([[0], ends]) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype("<i4"))]).cast(pa.binary())
 
 
-def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.astype(np.int32)))
-
-
-def _stripes_of(lang: str, texts: list[bytes], segments: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Stripes of texts of one language: prefixes of one word, then of two, in a row per first word and segment."""
+def _stripes_of(lang: str, texts: list[bytes], segments: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Stripes of texts of one language: prefixes of one word and of two, a row for each part."""
     words, codes, piece = _words(texts)
     v = len(words)
     if not v:
         return
     hashes = _hashes(words)
-    parts = segments[hashes % BUCKETS]
-    alone = np.bincount(codes, minlength=v)
+    cuts = segments[hashes % BUCKETS]
     pairs = np.flatnonzero(piece[1:] == piece[:-1])
     pair, pair_of, n2 = np.unique(codes[pairs] * v + codes[pairs + 1], return_inverse=True, return_counts=True)
-    first, second = pair // v, pair % v
     at = np.full(len(codes), -1, np.int64)
     at[pairs] = pair_of
     triples = np.flatnonzero(piece[2:] == piece[:-2]) if len(codes) > 2 else np.zeros(0, np.int64)
     triple, n3 = np.unique(at[triples] * v + codes[triples + 2], return_counts=True)
     middle, third = triple // v, triple % v
-    # A word's total rides in its segment 0, which therefore always exists.
-    keys = np.concatenate([first, np.arange(v)])
-    segment = np.concatenate([hashes[second] * 31 % parts[first], np.zeros(v, np.int64)])
-    counter = np.concatenate([n2, np.zeros(v, np.int64)])
-    follows = np.concatenate([second, np.full(v, -1)])
-    order = np.lexsort((follows, segment, keys))
-    keys, segment, counter, follows = keys[order], segment[order], counter[order], follows[order]
-    ends = np.flatnonzero(np.diff(keys, append=-1) | np.diff(segment, append=-1)) + 1
-    own, kept = ends - 1, follows >= 0
-    ends2 = np.cumsum(kept)[own]
-    rows = len(ends)
-    yield _batch(
-        lang, words, keys[own], 1, segment[own], np.where(segment[own] == 0, alone[keys[own]], 0),
-        pa.array([None] * rows, pa.binary()), pa.array([None] * rows, pa.list_(pa.int32())),
-        _joined(words, follows[kept], ends2), _cut(counter[kept], ends2),
-    )
-    if not len(triple):
-        return
-    keys = first[middle]
-    segment = (hashes[second[middle]] * 31 + hashes[third] * 17) % parts[keys]
-    order = np.lexsort((third, middle, segment, keys))
-    keys, segment, middle, third, n3 = keys[order], segment[order], middle[order], third[order], n3[order]
-    ends = np.flatnonzero(np.diff(keys, append=-1) | np.diff(segment, append=-1)) + 1
-    heads = np.flatnonzero((np.diff(middle, prepend=-1) != 0) | (np.diff(segment, prepend=-1) != 0) | (np.diff(keys, prepend=-1) != 0))
-    widths = np.diff(heads, append=len(third))
-    head_ends = np.searchsorted(heads, ends)
-    own = ends - 1
-    yield _batch(
-        lang, words, keys[own], 2, segment[own], np.zeros(len(ends), np.int64),
-        _joined(words, second[middle[heads]], head_ends), _cut(widths, head_ends), _joined(words, third, ends), _cut(n3, ends),
-    )
-
-
-def _batch(lang: str, words: pa.Array, prefix: np.ndarray, width: int, segment: np.ndarray, total: np.ndarray, *rest: pa.Array) -> pa.RecordBatch:
-    rows = len(prefix)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * rows, pa.string()), words.take(pa.array(prefix)).cast(pa.binary()), pa.array(np.full(rows, width, np.int32)),
-            pa.array(segment.astype(np.int32)), pa.array(total), *rest,
-        ],
-        ["lang", "prefix", "width", "segment", "total", "middle", "runs", "next", "n"],
-    )
-
-
-def _pieces(column: pa.Array) -> pa.Array:
-    """The words of joined ones, in one array."""
-    return pc.split_pattern(column.cast(pa.large_binary()), pattern=" ").flatten()
+    one, two, three = np.arange(v), (pair // v, pair % v), (pair[middle] // v, pair[middle] % v, third)
+
+    def part_of(first: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        return ((hashes[first] + 1) * 2_654_435_761 + segment * 2_246_822_519) % 4_294_967_291 % parts
+
+    dealt = [
+        (part_of(one, np.zeros(v, np.int64)), [one], np.bincount(codes, minlength=v)),
+        (part_of(two[0], hashes[two[1]] * 31 % cuts[two[0]]), two, n2),
+        (part_of(three[0], (hashes[three[1]] * 31 + hashes[three[2]] * 17) % cuts[three[0]]), three, n3),
+    ]
+    # Each part's row has its own dictionary.
+    used = np.unique(np.concatenate([part * v + c for part, columns, _ in dealt for c in columns]))
+    rows, heads = np.unique(used // v, return_index=True)
+    ends = np.append(heads[1:], len(used))
+    columns = []
+    for part, members, n in dealt:
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        row = np.searchsorted(rows, part)
+        until = np.searchsorted(part, rows, "right")
+        columns += [_planes(np.searchsorted(used, part * v + c[order]) - heads[row], until) for c in members] + [_planes(n[order], until)]
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), words.take(pa.array(used % v)))
+    joined = pc.binary_join(lists, pa.scalar(b" ", pa.large_binary())).cast(pa.binary())
+    whole = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([lang] * len(rows), pa.string()), joined, *columns], ["part", "lang", "words", *_PLANES])
+    step = max(1, len(rows) * (2 << 20) // whole.nbytes)
+    for k in range(0, len(rows), step):
+        yield whole.slice(k, step)
 
 
 def _merge(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Counts of at least ``least`` from whole stripes of one width, sorted by key, and their words' number by language."""
-    width = rows["width"][0].as_py()
+    """Counts of at least ``least`` from whole parts, and with width 0 their words by language."""
     lang = rows["lang"].combine_chunks().dictionary_encode()
-    prefix = rows["prefix"].combine_chunks().cast(pa.large_binary()).dictionary_encode()
-    langs, prefixes = lang.dictionary, prefix.dictionary
-    key = lang.indices.to_numpy().astype(np.int64) * len(prefixes) + prefix.indices.to_numpy()
-    names = ["width", "lang", "w1", "w2", "w3", "n"]
-
-    def out(width: int, key: np.ndarray, w2: pa.Array | None, w3: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
-        nothing = pa.nulls(len(n), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(n), width, np.int32)), langs.take(pa.array(key // len(prefixes))).cast(pa.string()),
-                prefixes.take(pa.array(key % len(prefixes))).cast(pa.binary()), nothing if w2 is None else w2.cast(pa.binary()),
-                nothing if w3 is None else w3.cast(pa.binary()), pa.array(n.astype(np.int64)),
-            ],
-            names,
-        )
-
-    n = rows["n"].combine_chunks()
-    sizes = pc.list_value_length(n).to_numpy(zero_copy_only=False).astype(np.int64)
-    counts = n.flatten().to_numpy().astype(np.int64)
-    filled = rows.filter(pa.array(sizes > 0))
-    if width == 1:
-        whole, place = np.unique(key, return_inverse=True)
-        total = np.bincount(place, rows["total"].to_numpy(), len(whole)).astype(np.int64)
-        yield out(1, whole[total >= least], None, None, total[total >= least])
-        spoken, place = np.unique(whole // len(prefixes), return_inverse=True)
-        words = np.bincount(place, total, len(spoken)).astype(np.int64)
-        yield out(0, spoken * len(prefixes), None, None, words)
-    if not len(counts):
-        return
-    follow = _pieces(filled["next"].combine_chunks()).dictionary_encode()
-    key = np.repeat(key, sizes)
-    if width == 1:
-        entry = key * len(follow.dictionary) + follow.indices.to_numpy()
-        entry, place = np.unique(entry, return_inverse=True)
-        n = np.bincount(place, counts, len(entry)).astype(np.int64)
-        entry, n = entry[n >= least], n[n >= least]
-        yield out(2, entry // len(follow.dictionary), follow.dictionary.take(pa.array(entry % len(follow.dictionary))), None, n)
-        return
-    runs = filled["runs"].combine_chunks().flatten().to_numpy()
-    middle = _pieces(filled["middle"].combine_chunks()).dictionary_encode()
-    pair = key * len(middle.dictionary) + np.repeat(middle.indices.to_numpy(), runs)
-    pairs, place = np.unique(pair, return_inverse=True)
-    entry = place * len(follow.dictionary) + follow.indices.to_numpy()
-    entry, place = np.unique(entry, return_inverse=True)
-    n = np.bincount(place, counts, len(entry)).astype(np.int64)
-    entry, n = entry[n >= least], n[n >= least]
-    pair = pairs[entry // len(follow.dictionary)]
-    yield out(
-        3, pair // len(middle.dictionary), middle.dictionary.take(pa.array(pair % len(middle.dictionary))),
-        follow.dictionary.take(pa.array(entry % len(follow.dictionary))), n,
-    )
+    lists = pc.split_pattern(rows["words"].combine_chunks().cast(pa.large_binary()), pattern=" ")
+    offsets = lists.offsets.to_numpy()
+    words = lists.flatten().dictionary_encode()
+    known, v = words.dictionary, len(words.dictionary)
+    code, of_lang = words.indices.to_numpy().astype(np.int64), lang.indices.to_numpy().astype(np.int64)
+
+    def plane(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all rows, and each one's row."""
+        column = rows[name].combine_chunks()
+        row = np.repeat(np.arange(len(rows)), pc.binary_length(column).to_numpy() // 4)
+        return np.frombuffer(b"".join(column.to_pylist()), "<i4").astype(np.int64), row
+
+    def coded(name: str) -> np.ndarray:
+        local, row = plane(name)
+        return code[local + offsets[row]]
+
+    def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, place = np.unique(key, return_inverse=True)
+        return key, np.bincount(place, n, len(key)).astype(np.int64)
+
+    def out(width: int, key: np.ndarray, w2: np.ndarray | None, w3: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+        """``key`` has language and first word."""
+        taken = [pa.nulls(len(n), pa.binary()) if w is None else known.take(pa.array(w)).cast(pa.binary()) for w in (key % max(1, v), w2, w3)]
+        columns = [pa.array(np.full(len(n), width, np.int32)), lang.dictionary.take(pa.array(key // max(1, v))), *taken, pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, ["width", "lang", "w1", "w2", "w3", "n"])
+
+    total, row = plane("total")
+    first, n = summed(of_lang[row] * v + coded("p1"), total)
+    spoken, said = summed(first // max(1, v), n)
+    yield out(0, spoken * v, None, None, said)
+    yield out(1, first[n >= least], None, None, n[n >= least])
+    count, row = plane("n2")
+    prefix, place = np.unique(of_lang[row] * v + coded("p2"), return_inverse=True)
+    stripe, n = summed(place * v + coded("q2"), count)
+    stripe, n = stripe[n >= least], n[n >= least]
+    yield out(2, prefix[stripe // max(1, v)], stripe % max(1, v), None, n)
+    count, row = plane("n3")
+    prefix, place = np.unique(of_lang[row] * v + coded("p3"), return_inverse=True)
+    longer, place = np.unique(place * v + coded("q3"), return_inverse=True)
+    stripe, n = summed(place * v + coded("r3"), count)
+    stripe, n = stripe[n >= least], n[n >= least]
+    pair = longer[stripe // max(1, v)]
+    yield out(3, prefix[pair // max(1, v)], pair % max(1, v), stripe % max(1, v), n)
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Merge stripes as they come, sorted by width and key; a key's rows are merged together."""
+    """Merge stripes as they come, sorted by part; a part's rows are merged together."""
     pending: list[pa.RecordBatch] = []
-    size, last = 0, None
-
-    def key(batch: pa.RecordBatch, row: int) -> tuple:
-        return tuple(batch.column(c)[row].as_py() for c in ("width", "lang", "prefix", "segment"))
-
-    def done() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(pending)
-        for width in (1, 2):
-            rows = table.filter(pc.equal(table["width"], width))
-            if len(rows):
-                yield from _merge(rows, least)
-
+    size = 0
     for batch in batches:
-        if size >= MERGE_ENTRIES:
-            # The rows up to the first one with another key than the last row held belong to stripes that are whole.
-            low, high = 0, len(batch)
-            while low < high:
-                at = (low + high) // 2
-                low, high = (at + 1, high) if key(batch, at) == last else (low, at)
-            if low < len(batch):
-                pending.append(batch.slice(0, low))
-                yield from done()
-                pending, size, batch = [], 0, batch.slice(low)
-        pending.append(batch)
-        size += len(batch.column("n").flatten()) + len(batch)
-        last = key(batch, len(batch) - 1) if len(batch) else last
+        part = batch.column("part").to_numpy()
+        heads = np.flatnonzero(np.diff(part)) + 1
+        for low, high in zip([0, *heads], [*heads, len(part)], strict=True):
+            if size >= MERGE_BYTES and part[low] != pending[-1].column("part")[-1].as_py():
+                yield from _merge(pa.Table.from_batches(pending), least)
+                pending, size = [], 0
+            if high > low:
+                pending.append(batch.slice(low, high - low))
+                size += pending[-1].nbytes
     if pending:
-        yield from done()
+        yield from _merge(pa.Table.from_batches(pending), least)
 
 
 def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -253,17 +207,17 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
     rows = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    segments = np.ones(BUCKETS, np.int64)
+    segments, total = np.ones(BUCKETS, np.int64), 0
     for r in rows.mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        segments[r["bucket"]] = -(-r["n"] // SEGMENT_WORDS)
+        segments[r["bucket"]], total = -(-r["n"] // PART_WORDS), total + r["n"]
+    parts = -(-total // PART_WORDS) or 1
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
             for lang, texts in held.items():
-                yield from _stripes_of(lang, texts, segments)
+                yield from _stripes_of(lang, texts, segments, parts)
 
-    keys = ["width", "lang", "prefix", "segment"]
-    dealt = rows.mapInArrow(stripes, _STRIPES).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = rows.mapInArrow(stripes, _STRIPES).repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(lambda batches: _merged(batches, least), _COUNTS)
 
 

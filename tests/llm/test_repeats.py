@@ -159,7 +159,7 @@ def test_collocations_of_odd_rows(spark, monkeypatch):
     assert len(want) > 100
     assert sorted(map(tuple, collocations(docs).collect())) == want
     # Small limits: segments of common prefixes, many merges, ranks by parts.
-    for name, value in (("SEGMENT_WORDS", 50), ("HOLD_BYTES", 2000), ("MERGE_ENTRIES", 40)):
+    for name, value in (("PART_WORDS", 50), ("HOLD_BYTES", 2000), ("MERGE_BYTES", 400)):
         monkeypatch.setattr(collocations_module, name, value)
     assert sorted(map(tuple, collocations(docs).collect())) == want
     assert sorted(map(tuple, collocations(docs, least=3, subsume_percent=90, top=7).collect())) == plain_collocations([r[:2] for r in rows], 3, 90, 7)
