@@ -15,7 +15,7 @@ from .packing import pack
 from .pii import find_personal_data
 from .quality import quality_scores
 from .recipes import MIX_SHARE, domain_of, source_weights
-from .repeat_queries import op11_periodic_runs, op13_phrase_collocations
+from .repeat_queries import op11_periodic_runs, op12_suffix_array_dedup, op13_phrase_collocations
 from .threshold_topk import top_inner_products
 from .token_files import read_token_files, write_token_files
 from .url_rules import glob_rule, host_rule, judge_urls, rule_table, word_rule
@@ -158,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_token_files": op10_token_files,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_suffix_array_dedup": op12_suffix_array_dedup,
         "op13_phrase_collocations": op13_phrase_collocations,
         "pipeline": pipeline,
     }

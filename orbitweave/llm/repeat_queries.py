@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collocations import collocations
+from .passages import remove_repeats
 from .periodic_runs import periodic_runs
 
 
@@ -39,6 +40,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without bytes of strings of 200 bytes that occur elsewhere."""
+    rows = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.length)")
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of two and three words in each language of ``documents``."""
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,10 +12,13 @@ import numpy as np
 import pytest
 
 from orbitweave.llm import collocations as collocations_module
+from orbitweave.llm import passages as passages_module
 from orbitweave.llm import periodic_runs as runs_module
 from orbitweave.llm.collocations import collocations
+from orbitweave.llm.passages import remove_repeats, repeated_strings
 from orbitweave.llm.periodic_runs import SquareCatchers, periodic_runs
-from orbitweave.llm.repeat_queries import op11_periodic_runs, op13_phrase_collocations
+from orbitweave.llm.repeat_queries import op11_periodic_runs, op12_suffix_array_dedup, op13_phrase_collocations
+from orbitweave.llm.suffix_arrays import permuted_common_prefixes, suffix_array
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -170,3 +173,80 @@ def test_op13_equals_brute_force(spark):
     rows = duckdb.sql(f"SELECT text, lang FROM '{FOLDER}/documents.parquet'").fetchall()
     got = sorted(map(tuple, op13_phrase_collocations(spark, FOLDER).collect()))
     assert got == plain_collocations(rows) and len(got) > 100
+
+
+# --- suffix arrays and repeated passages -------------------------------------------
+
+
+def test_suffix_arrays_and_common_prefixes_equal_brute_force():
+    rng = random.Random(2)
+    for _ in range(600):
+        n, letters = rng.randint(0, 60), rng.choice([1, 2, 3, 8, 200])
+        text = [rng.randrange(letters) for _ in range(n)]
+        if n and rng.random() < 0.4:
+            p = rng.randint(1, 9)
+            text = [text[i % p] for i in range(n)]
+        order = suffix_array(np.array(text, np.int64))
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+        ends = sorted({n, *(rng.randint(1, max(1, n)) for _ in range(3))})
+        until = np.array([next(e for e in ends if e > i) for i in range(n)], np.int64)
+        before, common = permuted_common_prefixes(np.array(text, np.uint8), order, until)
+        for rank, i in enumerate(order.tolist()):
+            j = int(order[rank - 1]) if rank else -1
+            k = 0
+            while j >= 0 and k < min(until[i] - i, until[j] - j) and text[i + k] == text[j + k]:
+                k += 1
+            assert (before[i], common[i]) == (j, k)
+
+
+def plain_removal(texts, length=200):
+    """(n_bytes, n_removed, n_spans, kept) of each text by counting all its strings."""
+    seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t in texts:
+        gone = np.zeros(len(t) + 1, np.int8)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = 1
+        out.append((len(t), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), bytes(b for b, g in zip(t, gone, strict=False) if not g)))
+    return out
+
+
+def test_repeated_strings_of_pieces():
+    pieces = [b"x" * 90, b"ab" * 30 + b"\xff\0", b"", b"q" + b"ab" * 30, b"\0" * 70]
+    got = np.split(repeated_strings(pieces, 50), np.cumsum([len(p) + 1 for p in pieces]))[:-1]
+    seen = Counter(p[i : i + 50] for p in pieces for i in range(len(p) - 49))
+    assert [g[:-1].tolist() for g in got] == [[len(p) >= i + 50 and seen[p[i : i + 50]] > 1 for i in range(len(p))] for p in pieces]
+
+
+def removal_rows(docs, **options):
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), bytes(r.kept)) for r in remove_repeats(docs, **options).collect())
+
+
+@pytest.mark.parametrize("limits", [(256, 17, 4 << 20, 1 << 20), (2, 17, 3000, 4000), (1, 5, 50_000, 200)])
+def test_removal_of_odd_rows_and_frequent_lines(spark, monkeypatch, limits):
+    """Limits of 1 and 2 regions a shard send frequent lines through pieces and single strings."""
+    for name, value in zip(("WIDEST", "PIECE", "HOLD_BYTES", "SHARD_BYTES"), limits, strict=True):
+        monkeypatch.setattr(passages_module, name, value)
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    line, passage, twin = fresh(120), fresh(450), fresh(700)
+    texts = [None, "", "short", "x" * 199, "x" * 200, "é" * 300, twin, twin, twin[:500] + "!" + twin[500:], "ab" * 400, fresh(20_000)]
+    texts += [fresh(rng.randint(0, 300)) + line + fresh(rng.randint(0, 300)) for _ in range(12)]
+    texts += [fresh(150) + passage[k : k + 300] + fresh(k) for k in (0, 30, 90, 150)] + [passage + passage]
+    texts += [fresh(rng.randint(0, 4)) + fresh(1) + line + twin[:95 - k] + fresh(60) for k in range(9)]
+    docs = spark.createDataFrame([(None if i == 7 else i // 2, t, "k", 1) for i, t in enumerate(texts)], "doc_id long, text string, k1 string, start int").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    want = sorted((i == 7, 0 if i == 7 else i // 2, *r) for i, r in enumerate(plain_removal(raw)))
+    assert removal_rows(docs) == want
+    assert removal_rows(docs.where("false")) == []
+
+
+def test_op12_equals_brute_force(spark, tmp_path):
+    source = f"SELECT * FROM '{FOLDER}/documents.parquet' WHERE length(text) < 30000"
+    duckdb.sql(f"COPY ({source}) TO '{tmp_path}/documents.parquet'")
+    rows = duckdb.sql(f"SELECT doc_id, text FROM ({source})").fetchall()
+    want = plain_removal([(t or "").encode() for _, t in rows])
+    got = {r.doc_id: tuple(r)[1:] for r in op12_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    assert got == {d: (*w[:3], hashlib.sha256(w[3]).hexdigest()) for (d, _), w in zip(rows, want, strict=True)}
+    assert sum(g[1] > 0 for g in got.values()) > 10
