@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from orbitweave.operators.machine import corrector_changes
 from orbitweave.sources import measurement_files, run_logs, text_tables
-from orbitweave.streaming import follow
 
 
 def test_measurements_keep_file_and_row(spark, tmp_path):
@@ -117,39 +116,3 @@ def test_checkpoints(tmp_path):
         run_logs.load_checkpoint(path, ["a"])
     with pytest.raises(ValueError, match="finite"):
         run_logs.save_checkpoint(path, 0, {"a": float("nan")}, {})
-
-
-def write_steps(folder, name, rows):
-    folder.mkdir(exist_ok=True)
-    (folder / name).write_text("".join(json.dumps(dict(zip(("run_id", "step", "loss"), r, strict=True))) + "\n" for r in rows))
-
-
-def test_following_runs(spark, tmp_path):
-    folder = tmp_path / "steps"
-    write_steps(folder, "0.json", [(1, 2, 8.0), (1, 0, 10.0), (1, 1, 9.0), (2, 0, 5.0)])
-    query = follow.follow(follow.read_steps(spark, str(folder))).writeStream.format("memory").queryName("progress").outputMode("append").start()
-    try:
-        query.processAllAvailable()
-        write_steps(folder, "1.json", [(1, 3, 8.5), (1, 1, 1.0)])
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    got = {(r.run_id, r.step): r for r in spark.table("progress").collect()}
-    assert sorted(got) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
-    assert (got[1, 3].best, got[1, 3].best_step) == (8.0, 2)
-    ema = 10.0
-    for loss in (9.0, 8.0, 8.5):
-        ema = 0.2 * ema + 0.8 * loss
-    assert abs(got[1, 3].ema - ema) < 1e-12
-
-
-def test_the_last_writer_of_a_step_wins(spark, tmp_path):
-    folder, table = tmp_path / "steps", str(tmp_path / "table")
-    write_steps(folder, "0.json", [(1, 0, 10.0), (1, 1, 9.0)])
-    steps = follow.read_steps(spark, str(folder))
-    for _ in range(2):
-        query = follow.latest_steps(steps, table, str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
-        query.awaitTermination(60)
-        write_steps(folder, "1.json", [(1, 1, 7.0), (1, 2, 6.0)])
-    got = spark.read.parquet(f"{table}/version=1").select("step", "loss").collect()
-    assert sorted(map(tuple, got)) == [(0, 10.0), (1, 7.0), (2, 6.0)]
