@@ -12,8 +12,8 @@ anchor, so that every string starts in exactly one region.
    with the one before it or after it in order.
 3. An anchor with very many different regions, a frequent line say, would make a shard
    of unbounded size. Its regions are cut into pieces of a few strings, keyed by the bytes that
-   these have in common; keys that are still too frequent fall apart into single strings, which
-   are counted.
+   these have in common, and equal pieces are merged like regions. Keys that are still too
+   frequent are cut again, at last into single strings, of which those with one key are equal.
 4. Repeated strings come back to their texts, whose bytes outside them stay.
 """
 
@@ -33,12 +33,12 @@ from .suffix_arrays import permuted_common_prefixes, suffix_array
 
 #: Bytes of an anchor; bytes of text hashed at a time and of regions sorted at a time.
 GRAM, HOLD_BYTES, SHARD_BYTES = 32, 4 << 20, 1 << 20
-#: Different regions of one key that may lie in a shard; strings in a piece of a more frequent anchor's region.
-WIDEST, PIECE = 256, 17
+#: Different regions of one key that may lie in a shard; strings in the pieces of what is more frequent, each size a part of the one before.
+WIDEST, PIECES = 256, (16, 4, 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _REGION = "anchor long, content long, k1 long, k2 long, start int, strings int, at int"
-_PIECE = "shard long, wide boolean, n long, k1 long, k2 long, start int, strings int, bytes binary"
+_PIECE = "shard long, content long, wide boolean, n long, k1 long, k2 long, start int, strings int, at int, bytes binary"
 _MARK = "k1 long, k2 long, start int, strings int"
 
 
@@ -144,29 +144,40 @@ def _packed(batches: Iterator[pa.RecordBatch], has_id: bool) -> Iterator[pa.Reco
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_PIECE`` from rows (k1, k2, text, regions)."""
+    """Rows of ``_PIECE``, whole regions, from rows (k1, k2, text, regions)."""
     unpack = zstandard.ZstdDecompressor().decompress
-    names = [c.split()[0] for c in _PIECE.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
         for k1, k2, text, regions in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text", "regions")), strict=True):
             raw = unpack(text)
             for r in regions:
-                first, last, at = r["start"], r["start"] + r["strings"] - 1, r["at"]
-                if not r["wide"]:
-                    rows.append((r["anchor"], False, r["n"], k1, k2, first, r["strings"], raw[first : last + length]))
-                    continue
-                # Pieces of fixed places before the anchor; all strings of a piece hold the bytes from its last start on.
-                for k in range((at - last) // PIECE, (at - first) // PIECE + 1):
-                    low, high = at - k * PIECE - PIECE + 1, at - k * PIECE
-                    a, b = max(low, first), min(high, last)
-                    shard = xxhash.xxh3_64_intdigest(raw[high : low + length], seed=k) - (1 << 63)
-                    rows.append((shard, True, r["n"], k1, k2, a, b - a + 1, raw[a : b + length]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names) if rows else _NOTHING
+                own = raw[r["start"] : r["start"] + r["strings"] - 1 + length]
+                rows.append((r["anchor"], 0, r["wide"], r["n"], k1, k2, r["start"], r["strings"], r["at"], own))
+        yield _rows(rows)
 
 
-_TYPES = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-_NOTHING = pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], [c.split()[0] for c in _PIECE.split(", ")])
+def _cut(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_PIECE``: pieces of ``size`` strings at fixed places before the anchor, keyed by the bytes that all their strings hold."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for r in batch.to_pylist():
+            first, last, at = r["start"], r["start"] + r["strings"] - 1, r["at"]
+            for k in range((at - last) // size, (at - first) // size + 1):
+                high = at - k * size
+                low = high - size + 1
+                a, b = max(low, first), min(high, last)
+                shard = xxhash.xxh3_64_intdigest(r["bytes"][high - first : low - first + length], seed=k) - (1 << 63)
+                own = r["bytes"][a - first : b - first + length]
+                rows.append((shard, xxhash.xxh3_64_intdigest(own) - (1 << 63), True, r["n"], r["k1"], r["k2"], a, b - a + 1, at, own))
+        yield _rows(rows)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], [c.split()[0] for c in _PIECE.split(", ")])
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def repeated_strings(pieces: list[bytes], length: int) -> np.ndarray:
@@ -217,17 +228,6 @@ def _matched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield done()
 
 
-def _single_strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (string, n, k1, k2, start) of pieces' strings, one by one."""
-    for batch in batches:
-        rows = [
-            (r["bytes"][i : i + length], r["n"], r["k1"], r["k2"], r["start"] + i) for r in batch.to_pylist() for i in range(r["strings"])
-        ]
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["string", "n", "k1", "k2", "start"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (id, n_bytes, spans, kept) from rows (id, text, marks)."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -253,31 +253,39 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 def repeated_marks(texts: DataFrame, length: int) -> DataFrame:
     """(k1, k2, marks) of ``texts`` (column text, binary): by text key, starts of its repeated strings and how many follow each other."""
     anchors = texts.mapInArrow(lambda b: _anchors(b, length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    # Written first, so that the join has two plain shuffles, of which Spark cuts a frequent anchor's part.
+    anchors = materialize(anchors.select("anchor"), "passages-anchors")
     seen = texts.mapInArrow(lambda b: _occurrences(b, length), _REGION)
-    seen = materialize(seen.join(anchors.select("anchor"), "anchor"), "passages-seen")
+    seen = materialize(seen.join(anchors, "anchor"), "passages-seen")
     where = F.struct("k1", "k2", "start", "strings", "at")
     regions = seen.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(where).alias("one"))
     regions = materialize(regions, "passages-regions")
     copies = seen.join(regions.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select("k1", "k2", "start", "strings")
 
-    unlike = regions.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-    asked = regions.join(unlike, "anchor").select("anchor", "n", "one.*", (F.col("variants") > WIDEST).alias("wide"))
+    # Of an anchor whose regions all occur twice, everything is known.
+    unlike = regions.groupBy("anchor").agg(F.count("*").alias("variants"), F.min("n").alias("least")).where("variants > 1 and least = 1")
+    unlike = materialize(unlike.select("anchor", (F.col("variants") > WIDEST).alias("wide")), "passages-unlike")
+    asked = regions.join(unlike, "anchor").select("anchor", "n", "one.*", "wide")
     asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "n", "start", "strings", "at", "wide")).alias("regions"))
     distinct = texts.mapInArrow(lambda b: _packed(b, False), "k1 long, k2 long, text binary").dropDuplicates(["k1", "k2"])
     pieces = materialize(distinct.join(asked, ["k1", "k2"]).mapInArrow(lambda b: _fetched(b, length), _PIECE), "passages-pieces")
 
-    wide = pieces.where("wide")
-    sizes = wide.groupBy("shard").agg(F.count("*").alias("variants")).where("variants > 1")
-    wide = wide.join(sizes, "shard")
-    shards = pieces.where("not wide").union(wide.where(F.col("variants") <= WIDEST).drop("variants"))
-    matches = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _matched(b, length), _MARK)
-    singles = wide.where(F.col("variants") > WIDEST).select("n", "k1", "k2", "start", "strings", "bytes")
-    singles = singles.mapInArrow(lambda b: _single_strings(b, length), "string binary, n long, k1 long, k2 long, start int")
-    often = singles.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
-    alone = singles.join(often, "string").select("k1", "k2", "start", F.lit(1).alias("strings"))
+    columns = [c.split()[0] for c in _PIECE.split(", ")]
+    shards, wide, marks = pieces.where("not wide"), pieces.where("wide"), copies
+    for size in PIECES:
+        cut = materialize(wide.mapInArrow(lambda b, size=size: _cut(b, length, size), _PIECE), f"passages-pieces-{size}")
+        alike = cut.groupBy("shard", "content").agg(F.count("*").alias("copies"), F.max("n").alias("most"), F.min(F.struct("k1", "k2", "start")).alias("one"))
+        alike = materialize(alike, f"passages-alike-{size}")
+        variants = materialize(alike.groupBy("shard").agg(F.count("*").alias("variants")), f"passages-variants-{size}")
+        known = cut.drop("n", "wide").join(alike, ["shard", "content"])
+        marks = marks.union(known.where("copies > 1").select("k1", "k2", "start", "strings"))
+        once = known.where(F.struct("k1", "k2", "start") == F.col("one")).withColumn("n", F.greatest("copies", "most"))
+        sized = once.join(variants.where("variants > 1"), "shard").withColumn("wide", F.col("variants") > WIDEST).select(columns)
+        sized = materialize(sized, f"passages-once-{size}")
+        shards, wide = shards.union(sized.where("not wide")), sized.where("wide")
 
-    marks = copies.union(matches).union(alone)
-    return marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
+    matches = shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(lambda b: _matched(b, length), _MARK)
+    return marks.union(matches).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "strings")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

@@ -15,61 +15,59 @@ def _smaller_types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the one after it; the last one is not."""
     n = len(text)
     step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     # Equal neighbours are like the next pair that differs.
     differs = np.where(step != 0, np.arange(n), n - 1)
     following = np.minimum.accumulate(differs[::-1])[::-1]
     return step[following] > 0
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, slots: np.ndarray, free: np.ndarray, down: bool) -> None:
+def _induce(text: np.ndarray, precedes: np.ndarray, slots: np.ndarray, free: np.ndarray, down: bool) -> None:
     """Fill suffixes of one type into ``slots`` (-1 where empty) from those before them in a scan.
 
     Upwards the greater ones go to the first free slot of their symbol, downwards the
-    smaller ones to the last free one; ``free`` has that slot by symbol.
+    smaller ones to the last free one; ``free`` has that slot by symbol. ``precedes`` says, last
+    for an empty slot, whether the suffix before one is of the type.
     """
-    n, width = len(slots), 1024
+    n, width, sign = len(slots), 1024, -1 if down else 1
     at = n - 1 if down else 0
     while 0 <= at < n:
         view = slots[max(0, at - width + 1) : at + 1][::-1] if down else slots[at : at + width]
-        before = view - 1
-        live = before >= 0
-        live[live] = smaller[before[live]] == down
-        where = live.nonzero()[0]
-        suffix = before[where]
-        symbol = text[suffix]
-        target = free[symbol]
-        # A slot may be read once nothing that is scanned before it can still fill it.
-        reach = (at - target if down else target - at) - 1
-        bound = np.minimum.accumulate(reach) if len(reach) else reach
-        late = np.flatnonzero(bound[:-1] < where[1:]) if len(where) > 1 else where[:0]
-        if len(late):
-            take = int(late[0]) + 1
-            end = int(min(bound[take - 1], where[take] - 1)) + 1
-            where, suffix, symbol = where[:take], suffix[:take], symbol[:take]
-        else:
-            end = len(view) if not len(bound) else int(min(bound[-1] + 1, len(view)))
-        if len(suffix):
+        where = precedes[view].nonzero()[0]
+        end = len(view)
+        if len(where):
+            suffix = view[where] - 1
+            symbol = text[suffix]
+            # A slot may be read once nothing that is scanned before it can still fill it.
+            bound = np.minimum.accumulate((free[symbol] - at) * sign)
+            late = bound[:-1] <= where[1:]
+            take = int(late.argmax()) + 1 if len(late) and late[-1] else len(where)
+            end = min(int(bound[take - 1]), end)
+            if take < len(where):
+                suffix, symbol = suffix[:take], symbol[:take]
             order = symbol.argsort(kind="stable")
-            sorted_symbols = symbol[order]
-            new = np.ones(len(order), bool)
-            new[1:] = sorted_symbols[1:] != sorted_symbols[:-1]
+            ordered = symbol[order]
+            new = np.ones(take, bool)
+            np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
             heads = new.nonzero()[0]
-            sizes = np.append(heads[1:], len(order)) - heads
-            rank = np.arange(len(order)) - heads.repeat(sizes)
-            first = free[sorted_symbols]
-            slots[first - rank if down else first + rank] = suffix[order]
-            free[sorted_symbols[heads]] += -sizes if down else sizes
+            if len(heads) == take:
+                slots[free[ordered]] = suffix[order]
+                free[ordered] += sign
+            else:
+                sizes = np.append(heads[1:], take) - heads
+                rank = np.arange(take) - heads.repeat(sizes)
+                slots[free[ordered] + sign * rank] = suffix[order]
+                free[ordered[heads]] += sign * sizes
         width = min(max(256, 2 * end), 1 << 20)
-        at += -end if down else end
+        at += end * sign
 
 
 def _from_leftmost(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All suffixes, induced from the leftmost smaller ones in the given order."""
+    n = len(text)
     ends = np.cumsum(size)
-    slots = np.full(len(text), -1, np.int64)
-    order = np.argsort(text[leftmost], kind="stable")
-    seeds = leftmost[order]
+    slots = np.full(n, -1, np.int32)
+    seeds = leftmost[text[leftmost].argsort(kind="stable")]
     symbols = text[seeds]
     # Seeds stand at the ends of their symbols' ranges.
     count = np.bincount(symbols, minlength=len(size))
@@ -77,12 +75,15 @@ def _from_leftmost(text: np.ndarray, smaller: np.ndarray, leftmost: np.ndarray,
     slots[place] = seeds
     free = ends - size
     # The last suffix is greater than nothing after it: it comes first of its symbol.
-    last = len(text) - 1
+    last = n - 1
     slots[free[text[last]]] = last
     free[text[last]] += 1
-    _induce(text, smaller, slots, free, down=False)
+    precedes = np.zeros(n + 1, bool)
+    precedes[1:n] = ~smaller[:-1]
+    _induce(text, precedes, slots, free, down=False)
     slots[place] = -1
-    _induce(text, smaller, slots, ends - 1, down=True)
+    precedes[1:n] = smaller[:-1]
+    _induce(text, precedes, slots, ends - 1, down=True)
     return slots
 
 
@@ -91,8 +92,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    text = text.astype(np.int64)
     size = np.bincount(text)
+    # Symbols of 16 bits are sorted by radix.
+    text = text.astype(np.uint16 if len(size) <= 1 << 16 else np.int32)
     smaller = _smaller_types(text)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     m = len(leftmost)

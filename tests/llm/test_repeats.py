@@ -223,10 +223,10 @@ def removal_rows(docs, **options):
     return sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, sum(s.length for s in r.spans), len(r.spans), bytes(r.kept)) for r in remove_repeats(docs, **options).collect())
 
 
-@pytest.mark.parametrize("limits", [(256, 17, 4 << 20, 1 << 20), (2, 17, 3000, 4000), (1, 5, 50_000, 200)])
+@pytest.mark.parametrize("limits", [(256, (16, 4, 1), 4 << 20, 1 << 20), (2, (16, 4, 1), 3000, 4000), (1, (6, 2, 1), 50_000, 200)])
 def test_removal_of_odd_rows_and_frequent_lines(spark, monkeypatch, limits):
     """Limits of 1 and 2 regions a shard send frequent lines through pieces and single strings."""
-    for name, value in zip(("WIDEST", "PIECE", "HOLD_BYTES", "SHARD_BYTES"), limits, strict=True):
+    for name, value in zip(("WIDEST", "PIECES", "HOLD_BYTES", "SHARD_BYTES"), limits, strict=True):
         monkeypatch.setattr(passages_module, name, value)
     rng = random.Random(8)
     fresh = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
