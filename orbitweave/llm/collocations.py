@@ -32,7 +32,7 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(SPACES)] = 1
 _KIND[list(STOPS)] = 2
 #: Hash buckets of words, words that a part and a segment of a stripe may stand for, bytes counted and merged at a time.
-BUCKETS, PART_WORDS, HOLD_BYTES, MERGE_BYTES = 16_384, 2_000_000, 16 << 20, 8 << 20
+BUCKETS, PART_WORDS, HOLD_BYTES, MERGE_BYTES = 16_384, 1_000_000, 8 << 20, 4 << 20
 #: Columns of a row of stripes, 32-bit numbers each: prefixes of one word and totals, extensions of one word and of two.
 _PLANES = ("p1", "total", "p2", "q2", "n2", "p3", "q3", "r3", "n3")
 _STRIPES = "part long, lang string, words binary, " + ", ".join(f"{c} binary" for c in _PLANES)
@@ -195,6 +195,7 @@ def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
             if size >= MERGE_BYTES and part[low] != pending[-1].column("part")[-1].as_py():
                 yield from _merge(pa.Table.from_batches(pending), least)
                 pending, size = [], 0
+                pa.default_memory_pool().release_unused()
             if high > low:
                 pending.append(batch.slice(low, high - low))
                 size += pending[-1].nbytes
@@ -214,8 +215,9 @@ def phrase_counts(docs: DataFrame, least: int, text_col: str = "text", lang_col:
 
     def stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
-            for lang, texts in held.items():
-                yield from _stripes_of(lang, texts, segments, parts)
+            for lang in list(held):
+                yield from _stripes_of(lang, held.pop(lang), segments, parts)
+            pa.default_memory_pool().release_unused()
 
     dealt = rows.mapInArrow(stripes, _STRIPES).repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(lambda batches: _merged(batches, least), _COUNTS)
