@@ -1,6 +1,6 @@
 """All registered queries: importing this module fills the registry."""
 
-from orbitweave.jobs import epochs, estimation, fits, planning, plans, preparation
+from orbitweave.jobs import calibrated, consistency, epochs, estimation, fits, momenta, planning, plans, preparation
 from orbitweave.jobs.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "epochs", "estimation", "fits", "planning", "plans", "preparation"]
+__all__ = ["ORACLES", "QUERIES", "calibrated", "consistency", "epochs", "estimation", "fits", "momenta", "planning", "plans", "preparation"]

@@ -47,7 +47,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reading_id", F.transform(F.slice("jac", 1, 2), lambda x: -F.col("weight") * x).alias("g"),
         F.when(F.col("reading_id") % 11 == 0, float("inf")).otherwise(0.25).alias("variance"),
     )
-    return reductions.merge_readings(parts, 2)
+    return reductions.merge_readings(parts)
 
 
 @query(_MERGED + "SELECT reading_id, round(g0, 9) AS g0, round(g1, 9) AS g1, isinf(variance) AS excluded FROM merged")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbitweave.functions.missing import INFINITE, present, weight
 
@@ -94,11 +95,68 @@ def normal_matrix(rows: DataFrame, jacobian: str, weight_col: str = "weight") ->
     return each.mapInArrow(partial, "a int, b int, v double").groupBy("a", "b").agg(F.sum("v").alias("value"))
 
 
-def merge_readings(parts: DataFrame, size: int) -> DataFrame:
-    """(reading_id, g, variance): sensitivities of a reading summed over all parts before any squaring."""
-    sums = [F.sum(F.col("g")[k]).alias(f"g{k}") for k in range(size)]
-    merged = parts.groupBy("reading_id").agg(*sums, F.max("variance").alias("variance"))
-    return merged.select("reading_id", F.array(*(f"g{k}" for k in range(size))).alias("g"), "variance")
+def merge_readings(parts: DataFrame) -> DataFrame:
+    """(reading_id, g, variance): sensitivities of a reading summed over all parts before any squaring.
+
+    ``g`` is a list by knob, or a list of (knob, value) where few of many knobs count; the result is of the same kind, the
+    pairs in order of knobs. One shuffle by reading, and as many rows as there are values: no aggregate per knob.
+    """
+    sparse = isinstance(parts.schema["g"].dataType.elementType, T.StructType)
+    dealt = parts.repartition("reading_id")
+    each = dealt.select("reading_id", "variance", F.inline_outer("g").alias("knob", "value") if sparse else F.posexplode_outer("g").alias("knob", "value"))
+    sums = each.groupBy("reading_id", "knob").agg(F.sum("value").alias("value"), F.max("variance").alias("variance"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("knob").isNotNull(), F.struct("knob", "value"))))
+    merged = sums.groupBy("reading_id").agg(pairs.alias("g"), F.max("variance").alias("variance"))
+    return merged if sparse else merged.withColumn("g", F.transform("g", lambda p: p["value"]))
+
+
+def outer_blocks(readings: DataFrame, weight_col: str, block: int = 256, held: int = 64) -> DataFrame:
+    """(a, b, value), a >= b: the weighted sum of outer products of sparse rows ``g`` of (knob, value), zeros left out.
+
+    A task adds up blocks of ``block`` by ``block`` knobs, only those that occur, and hands its blocks on when it has
+    ``held`` of them; so it needs memory for so many blocks, whatever the number of knobs.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+
+        def handed() -> pa.RecordBatch:
+            out = [(x * block + i, y * block + j, v[i, j]) for (x, y), v in sums.items() for i, j in zip(*np.nonzero(v), strict=True)]
+            a, b, value = zip(*out, strict=True) if out else ([], [], [])
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(value, pa.float64())], ["a", "b", "v"])
+
+        for batch in batches:
+            lists, weights = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            knob, value = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(float)
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            of, at = np.divmod(knob, block)
+            members = {x: np.flatnonzero(of == x) for x in np.unique(of)}
+            for x, in_x in members.items():
+                for y, in_y in members.items():
+                    shared = np.intersect1d(row[in_x], row[in_y]) if y <= x else []
+                    if not len(shared):
+                        continue
+                    left, right = np.zeros((len(shared), block)), np.zeros((len(shared), block))
+                    for dense, own in ((left, in_x), (right, in_y)):
+                        own = own[np.isin(row[own], shared)]
+                        np.add.at(dense, (np.searchsorted(shared, row[own]), at[own]), value[own])
+                    product = (left * weights[shared, None]).T @ right
+                    sums[x, y] = sums.get((x, y), 0.0) + (np.tril(product) if x == y else product)
+                    if len(sums) >= held:
+                        yield handed()
+        yield handed()
+
+    usable = rows_with(readings, weight_col)
+    each = usable.select(F.col(weight_col).cast("double"), F.col("g").cast("array<struct<knob: long, value: double>>"))
+    return each.mapInArrow(partial, "a long, b long, v double").groupBy("a", "b").agg(F.sum("v").alias("value"))
+
+
+def rows_with(rows: DataFrame, weight_col: str) -> DataFrame:
+    """Rows with a weight other than 0, whose sensitivities are all there."""
+    whole = F.col("g").isNotNull() & ~F.exists("g", lambda p: p.isNull() | p["knob"].isNull() | p["value"].isNull())
+    return rows.where(F.col(weight_col).isNotNull() & (F.col(weight_col) != 0) & whole)
 
 
 def noise_matrix(readings: DataFrame) -> DataFrame:

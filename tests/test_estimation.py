@@ -38,7 +38,7 @@ def test_gauss_newton_sums(spark, numbers):
 
 def test_shared_readings_add_before_squaring(spark):
     parts = spark.createDataFrame([(7, [1.0, 2.0], 0.1), (7, [3.0, -1.0], 0.1), (9, [1.0, 0.0], 0.2), (11, [5.0, 5.0], INF)], "reading_id long, g array<double>, variance double")
-    merged = reductions.merge_readings(parts, 2)
+    merged = reductions.merge_readings(parts)
     assert rows(merged, "reading_id", "g") == [(7, [4.0, 1.0]), (9, [1.0, 0.0]), (11, [5.0, 5.0])]
     got = {(r.a, r.b): r.value for r in reductions.noise_matrix(merged).collect()}
     assert np.isclose(got[0, 0], 0.1 * 16 + 0.2) and np.isclose(got[1, 0], 0.4) and np.isclose(got[1, 1], 0.1)
