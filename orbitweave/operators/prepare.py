@@ -63,9 +63,10 @@ def complete_grid(rows: DataFrame, markers: Sequence[str], values: Sequence[str]
     A marker that a turn has twice is an error that names both.
     """
     cell = F.struct(*[c for v in values for c in (v, f"var_{v}")])
-    turns = rows.groupBy(*keys).agg(F.collect_list(F.struct("name", cell.alias("cell"))).alias("cells"), F.count_distinct("name").alias("names"))
-    twice = F.concat_ws(" ", F.lit("a reading is there twice:"), *(F.col(k).cast("string") for k in keys), F.array_join(F.transform("cells", lambda c: c["name"]), " "))
-    checked = F.when(F.size("cells") == F.col("names"), F.col("cells")).otherwise(F.raise_error(twice))
+    turns = rows.groupBy(*keys).agg(F.collect_list(F.struct("name", cell.alias("cell"))).alias("cells"))
+    names = F.transform("cells", lambda c: c["name"])
+    twice = F.concat_ws(" ", F.lit("a reading is there twice:"), *(F.col(k).cast("string") for k in keys), F.array_join(names, " "))
+    checked = F.when(F.size("cells") == F.size(F.array_distinct(names)), F.col("cells")).otherwise(F.raise_error(twice))
     turns = turns.select(*keys, F.map_from_entries(checked).alias("cells"))
     grid = turns.select(*keys, "cells", F.posexplode(F.array(*map(F.lit, markers))).alias("col", "name"))
     grid = grid.withColumn("cell", F.try_element_at("cells", F.col("name")))

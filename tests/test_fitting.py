@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from orbitweave.functions import reading_ids
 from orbitweave.jobs.calibrated import fit_calibrated
+from orbitweave.jobs.epochs import EpochFit, linear_batches
 from orbitweave.jobs.momenta import at_reference, fit_each
-from orbitweave.operators import packed_sums, reductions, rules
-from orbitweave.operators.solvers import degeneracy
+from orbitweave.operators import packed_sums, prepare, reductions, rules
+from orbitweave.operators.solvers import Adam, degeneracy
 from orbitweave.operators.tall_qr import degeneracy_of, tall_qr
+from orbitweave.sources.optics_cache import OpticsCache
 from orbitweave.sources.shared_tables import Versions
+from orbitweave.sources.turn_tables import gather_turns, read_turn_table, shuffles, write_turn_table
 
 
 def test_packed_sums_by_key_with_odd_rows(spark):
@@ -195,3 +198,97 @@ def test_versions_go_back(spark, tmp_path):
         versions.save(k, spark.createDataFrame([(x,)], "x double"))
     assert [versions.load(k).first().x for k in (0, 1)] == [1.0, 3.0]
     assert versions.history(1).count() == 2
+
+
+def test_an_epoch_is_taken_back_from_its_version_with_the_optimiser(spark, tmp_path):
+    calls = []
+
+    def evaluate(values, batch):
+        calls.append(batch)
+        if len(calls) == 6:  # the second batch of the third epoch
+            return float("nan"), values
+        return float(values @ values), 2 * values
+
+    def fitted(versions, epochs, start, first=0):
+        fit = EpochFit(evaluate, [0, 1], Adam(), rate=lambda e: 0.05, stop_change=0.0, versions=versions)
+        fit.run(start, epochs, first)
+        return fit
+
+    versions = Versions(spark, str(tmp_path / "v"))
+    fit = fitted(versions, 5, np.array([1.0, -1.0]))
+    assert [p.lost for p in fit.history] == [False, False, True, False, False]
+    assert fit.history[2].values.tolist() == fit.history[1].values.tolist()
+    # Without the lost epoch the same steps follow: neither values nor moments kept anything of it.
+    calls[:] = [0] * 10
+    plain = fitted(None, 4, np.array([1.0, -1.0]))
+    assert [p.values.tolist() for p in plain.history] == [p.values.tolist() for k, p in enumerate(fit.history) if k != 2]
+    told = {r.version: (r.value, r.lost) for r in versions.history(5).where("knob = 0").collect()}
+    assert told[3] == (fit.history[2].values[0], True) and sorted(told) == [0, 1, 2, 3, 4, 5]
+    # A run that goes on from a version takes the steps that were taken.
+    again = fitted(versions, 2, None, first=3)
+    assert [p.values.tolist() for p in again.history] == [p.values.tolist() for p in fit.history[3:]]
+
+
+def test_batches_of_a_linear_machine(spark):
+    rng = np.random.default_rng(9)
+    rows = [(rng.normal(size=3).tolist(), float(rng.normal()), float(i % 4), i % 2) for i in range(80)]
+    frame = spark.createDataFrame(rows, "jac array<double>, target double, weight double, batch int").repartition(3)
+    evaluate = linear_batches(frame, 3)
+    v = np.array([0.5, -1.0, 2.0])
+    for batch in (0, 1):
+        own = [(np.array(j), t, w) for j, t, w, b in rows if b == batch and w > 0]
+        loss, gradient = evaluate(v, batch)
+        np.testing.assert_allclose(loss, sum(w * (j @ v - t) ** 2 for j, t, w in own) / len(own))
+        np.testing.assert_allclose(gradient, sum(2 * w * j * (j @ v - t) for j, t, w in own) / len(own))
+    assert evaluate(v, 7) == (0.0, pytest.approx(np.zeros(3)))
+
+
+def test_the_cache_computes_once_and_drops_the_least_recently_used(spark, tmp_path):
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted(r.key for r in missing.collect()))
+        return missing.select("key", (F.length("key") + F.col("x")).cast("double").alias("beta")).withColumn("s", F.explode(F.array(F.lit(1), F.lit(2))))
+
+    def cache(model="a"):
+        return OpticsCache(spark, str(tmp_path), {"model": model}, "key", "key string, s int, beta double", compute)
+
+    def request(*keys, of=None):
+        rows = spark.createDataFrame([(k, 1) for k in keys], "key string, x int")
+        return sorted((r.key, r.s, r.beta) for r in (of or cache()).get(rows).collect())
+
+    assert request("a", "bb", "a", None) == [("a", 1, 2.0), ("a", 2, 2.0), ("bb", 1, 3.0), ("bb", 2, 3.0)]
+    request("ccc", "bb")
+    request("a", "bb", "ccc")
+    request("a", of=cache("other"))
+    assert asked == [["a", "bb"], ["ccc"], ["a"]]
+    request("bb")
+    request("ccc")
+    assert cache().evict(2) == 1 and sorted(r.key for r in cache().keys().collect()) == ["bb", "ccc"]
+    assert request("a") == [("a", 1, 2.0), ("a", 2, 2.0)] and asked[-1] == ["a"]
+    assert cache().evict(5) == 0 and request() == []
+    assert cache("empty").evict(1) == 0
+
+
+def test_grids_and_gathers_on_turn_tables_need_no_shuffle(spark, tmp_path):
+    rows = spark.range(4000).select(
+        F.expr("id div 2000").cast("int").alias("file_idx"), F.expr("(id div 4) % 500").cast("int").alias("turn"), F.concat(F.lit("B"), (F.col("id") % 4).cast("string")).alias("name"),
+        F.col("id").cast("double").alias("x"), F.lit(1.0).alias("var_x"),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, frame in (("turns_a", rows), ("turns_b", rows.where("id % 3 = 0").drop("x", "var_x"))):
+            write_turn_table(frame, name, buckets=6, path=str(tmp_path / name))
+        table, asked = read_turn_table(spark, "turns_a"), read_turn_table(spark, "turns_b")
+        grid = prepare.complete_grid(table, ["B0", "B1", "B5"], ["x"])
+        assert shuffles(grid) == 0 and shuffles(prepare.complete_grid(rows, ["B0", "B1", "B5"], ["x"])) == 1
+        assert sorted(grid.collect()) == sorted(prepare.complete_grid(rows, ["B0", "B1", "B5"], ["x"]).collect())
+        gathered = gather_turns(asked, table)
+        assert shuffles(gathered) == 0 and gathered.count() == asked.count() and gathered.where("x is null").isEmpty()
+        assert shuffles(gather_turns(rows.drop("x", "var_x"), rows)) == 2
+        assert gather_turns(asked.limit(1).withColumn("name", F.lit("B9")), table).first().x is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("turns_a", "turns_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
