@@ -648,6 +648,38 @@ def test_data_written_past_the_patterns_is_added_and_look_alikes_are_not(spark):
     assert sum(got[i].n_added for i in range(len(plain))) == 0
 
 
+PLAIN = [
+    "We shop at amazon.com most weekends.", "Look at README.md before you start.", "He works at example.org in Berlin.", "They met at noon.The bus left.",
+    "Read more at docs.python.org or ask.", "Contact us at example.org for help.", "His number is 123-45-6789 there.", "The server runs at mail.example.org now.",
+]
+
+
+def test_plain_sentences_stay_and_ways_around_the_pattern_do_not(spark):
+    """Trees are taught by a corpus with plain mentions of hosts and dates, and by what they themselves write."""
+    rng = random.Random(11)
+    verbs, hosts = ("stay", "shopped", "works", "looked", "lives", "it is"), ("heise.de", "shop.example.com", "notes.txt", "blog.example.org")
+    texts = [f"{'mail' if k % 2 else 'write to'} n{k}.x{k % 9}@mail{k % 7}.example.org or jane{'abcdef'[k % 6]}@site.org now, host 10.{k % 250}.3.{k % 99} is up" for k in range(300)]
+    texts += [f"call +1 (2{k % 90:02d}) 555-{k:04d} or +49 30 {k:04d} 5566 now" for k in range(300)]
+    texts += [f"we {rng.choice(verbs)} at {rng.choice(hosts)} since 20{k % 25:02d}-0{k % 9 + 1}-1{k % 9}" for k in range(200)]
+    added = [("bob at foo dot com", 0), ("jo (at) foo.org", 0), ("mail jane at example.com now", 5), ("see jo.doe7 at foo.org", 4)]
+    got = {r.doc_id: r for r in find_personal_data(frame(spark, [*texts, *PLAIN, *(t for t, _ in added)])).collect()}
+    for i, text in enumerate(PLAIN, len(texts)):
+        assert got[i].n_added == 0, (text, got[i].spans)
+    for i, (text, start) in enumerate(added, len(texts) + len(PLAIN)):
+        assert got[i].spans.startswith(f"email:{start}:"), (text, got[i].spans)
+    assert sum(got[i].n_added for i in range(len(texts))) == 0
+
+
+def test_few_held_out_spans_prove_nothing(spark):
+    texts = [f"mail n{k}.x@site.org" for k in range(30)] + ["jo (at) foo.org"]
+    assert [r.n_added for r in find_personal_data(frame(spark, texts)).collect()] == [0] * 31
+    score, good = np.array([3.0, 2.0, 1.0]), np.array([60.0, 60.0, 10.0])
+    bad = np.array([0.0, 1.0, 50.0])
+    assert calibrated_cut(score, good, bad, 0.98) == 1.5
+    assert calibrated_cut(score, good, bad, 0.98, 1.0) == 2.5
+    assert calibrated_cut(score, good, bad, 0.98, 3.0) == float("inf")
+
+
 def test_personal_data_of_repeated_and_missing_ids(spark):
     text = "call +1 (200) 555-0199 now"
     got = find_personal_data(frame(spark, [text, text, text, None], [None, 7, 7, 7])).collect()
