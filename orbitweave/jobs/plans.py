@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orbitweave.functions.missing import usable_variance
-from orbitweave.jobs.planning import turns_of
 from orbitweave.jobs.registry import query
 from orbitweave.jobs.views import MEAS, MONITORS, NAMES, NOISE, RING_SQL, measurements, noise, ring, table
 from orbitweave.operators import batches, plans, ranges, reductions
+from orbitweave.sources.shared_tables import written
 
 #: Least share of turns with a reading, in a hundred, of a good monitor; and the plan's points.
 GOOD = 56
@@ -43,6 +43,13 @@ def points_of(spark: SparkSession, sf_dir: str, reading: str = "x", percent: int
     return found.join(ring(spark).select("name", "ring_pos"), "name")
 
 
+def planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(points, turns) of all files from one reading of the measurements: a row per turn is written, points from it."""
+    summary = written(plans.turn_summary(measurements(spark, sf_dir), "x"), "plan-turns")
+    points = plans.summary_points(summary, NAMES, GOOD).join(ring(spark).select("name", "ring_pos"), "name")
+    return written(points, "plan-points"), summary.select("file_idx", "bunch", "turn")
+
+
 @query(_POINTS + "SELECT file_idx, name, n_turns, n, good FROM points")
 def observed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which monitors of the model a file has enough readings of; the others are bad there."""
@@ -72,9 +79,10 @@ FROM pairs p JOIN spans s ON s.file_idx = p.file_idx CROSS JOIN (VALUES (1), (-1
 """)
 def arc_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of an arc-by-arc fit: every batch of turns of a file with every range between its good points, both ways."""
-    good = points_of(spark, sf_dir).where("good")
+    points, turns = planned(spark, sf_dir)
+    good = points.where("good")
     pairs = plans.with_point_counts(plans.file_ranges(good, STARTS, ENDS), good, MONITORS)
-    spans = plans.batch_spans(batches.drop_bunch_edges(turns_of(spark, sf_dir), 2), BATCHES)
+    spans = plans.batch_spans(batches.drop_bunch_edges(turns, 2), BATCHES)
     both = pairs.withColumn("sdir", F.explode(F.array(F.lit(1), F.lit(-1))))
     return spans.join(both, "file_idx").select("file_idx", "batch", "start", "end", "sdir", "n_turns", "first_turn", F.col("n_points").cast("int").alias("n_points"), "n_observed")
 
@@ -103,9 +111,10 @@ FROM rows_of r JOIN last l USING (file_idx) JOIN firsts f USING (file_idx)
 """)
 def kicker_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payloads of a kicker fit: the whole ring from a file's start, at the first turn of each bunch."""
-    good = points_of(spark, sf_dir).where("good").select("file_idx", "name", "ring_pos")
+    points, turns = planned(spark, sf_dir)
+    good = points.where("good").select("file_idx", "name", "ring_pos")
     whole = plans.whole_ring(good, plans.resolve_window(good, WINDOW), MONITORS)
-    firsts = batches.first_bunch_turns(turns_of(spark, sf_dir))
+    firsts = batches.first_bunch_turns(turns)
     return whole.join(firsts, "file_idx").select("file_idx", "bunch", "turn", "start", "end", "point", "name")
 
 
@@ -231,11 +240,11 @@ def relative_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_MEANS + """
 SELECT coalesce(a.name, b.name) AS name, a.x AS before, b.x AS after
-FROM (SELECT * FROM means WHERE file_idx = 0 AND x > 100) a FULL JOIN (SELECT * FROM means WHERE file_idx = 1 AND x > 100) b ON a.name = b.name
+FROM (SELECT * FROM means WHERE file_idx = 0 AND x > 47) a FULL JOIN (SELECT * FROM means WHERE file_idx = 1 AND x > 47) b ON a.name = b.name
 """)
 def outer_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of two files side by side, null where one has none."""
-    means = file_means(spark, sf_dir).where("x > 100")
+    means = file_means(spark, sf_dir).where("x > 47")
     before, after = (means.where(F.col("file_idx") == k).select("name", F.col("x").alias(c)) for k, c in ((0, "before"), (1, "after")))
     return before.join(after, "name", "full")
 

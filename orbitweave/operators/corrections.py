@@ -93,6 +93,35 @@ def gain_reading(position: Column, gain: Column) -> Column:
     return (1 + F.coalesce(gain, F.lit(0.0))) * position
 
 
+def with_gains(rows: DataFrame, gains: DataFrame, keys: list[str], position: str, derivatives: str) -> DataFrame:
+    """``rows`` with ``reading``, ``scaled`` and ``by_gain``: what a monitor shows, its derivatives by the knobs, and that by its own gain.
+
+    ``gains`` has at most one row (keys, gain) each; a monitor without one has gain 0 and the derivative by it is null.
+    """
+    found = rows.join(gains.select(*keys, F.col("gain").alias("own_gain")), keys, "left")
+    factor = 1 + F.coalesce("own_gain", F.lit(0.0))
+    return found.select(
+        *rows.columns, gain_reading(F.col(position), F.col("own_gain")).alias("reading"), F.transform(derivatives, lambda d: factor * d).alias("scaled"),
+        F.when(F.col("own_gain").isNotNull(), F.col(position)).alias("by_gain"),
+    )
+
+
+def common_measurements(frames: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """The columns of all frames side by side for the keys that all of them have, each column with its frame's name before it."""
+    out: DataFrame | None = None
+    for label, frame in frames:
+        named = frame.select(key, *(F.col(c).alias(f"{label}_{c}") for c in frame.columns if c != key))
+        out = named if out is None else out.join(named, key)
+    return out
+
+
+def optics_measurement(rows: DataFrame, columns: dict[str, tuple[str, str]], observables: list[str]) -> DataFrame:
+    """``rows`` with the value and error columns of the observables; a missing value column is an error that names all of them, a missing error is NaN."""
+    if missing := sorted(columns[o][0] for o in observables if columns[o][0] not in rows.columns):
+        raise ValueError(f"the measurement lacks {missing}")
+    return rows.withColumns({columns[o][1]: F.lit(float("nan")) for o in observables if columns[o][1] not in rows.columns})
+
+
 def unweighted_variance(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``variance``: the mean square of the finite values of each key, 1 if that is not positive."""
     v = F.when(present(F.col("value")) & (F.abs("value") < INFINITE), F.col("value"))

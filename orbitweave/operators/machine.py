@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,33 @@ def collapse_pairs(elements: DataFrame, cell: str, value: str, rtol: float = 1e-
     return pairs.select(cell, F.when(same, F.col("low")).otherwise(bad).alias(value))
 
 
+def expand_groups(groups: DataFrame, members: DataFrame, group: str, value: str) -> DataFrame:
+    """(member, value): every member (group, member) gets its group's value; a member of a group that has none is an error."""
+    found = members.join(groups.select(group, F.col(value).alias("value")), group, "left")
+    missing = F.raise_error(F.concat(F.lit("no value for "), F.col(group).cast("string"))).cast("double")
+    return found.select("member", F.when(F.col("value").isNotNull(), F.col("value")).otherwise(missing).alias("value"))
+
+
+def by_sign(group: Column, strength: Column, split: Column) -> Column:
+    """The group of an element, told apart by the sign of its strength where ``split``: ``_p`` from 0 on, ``_n`` below."""
+    return F.when(split, F.concat(group, F.when(strength >= 0, "_p").otherwise("_n"))).otherwise(group)
+
+
+def drop_prefixes(rows: DataFrame, name: str, prefixes: Sequence[str]) -> DataFrame:
+    """Rows whose upper-cased name starts with none of the upper-cased prefixes; a null name stays."""
+    starts = [F.upper(name).startswith(p.upper()) for p in prefixes]
+    return rows.where(~F.coalesce(reduce(lambda a, b: a | b, starts, F.lit(False)), F.lit(False)))
+
+
+def in_given_order(rows: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
+    """Rows whose key is wanted, with its ``place`` in the list, from 0; what is wanted twice counts at its first place."""
+    places = {w: i for i, w in reversed(list(enumerate(wanted)))}
+    if not places:
+        return rows.withColumn("place", F.lit(0)).where("false")
+    lookup = F.map_from_arrays(F.array(*map(F.lit, places)), F.array(*map(F.lit, places.values())))
+    return rows.withColumn("place", F.try_element_at(lookup, F.col(key))).where("place is not null")
+
+
 def knob_specs(elements: DataFrame, specs: DataFrame) -> DataFrame:
     """(name, attribute) for each element and spec of its kind whose pattern it matches and whose attribute is not 0.
 

@@ -25,6 +25,21 @@ def observed_points(rows: DataFrame, names: Sequence[str], percent: int, reading
     return found.withColumn("good", 100 * F.col("n") >= percent * F.col("n_turns"))
 
 
+def turn_summary(rows: DataFrame, reading: str) -> DataFrame:
+    """(file_idx, bunch, turn, seen): a row per turn with the names of its monitors, repeated ones too, whose ``reading`` is not null."""
+    seen = F.collect_list(F.when(F.col(reading).isNotNull(), F.col("name")))
+    return rows.groupBy("file_idx", "bunch", "turn").agg(seen.alias("seen"))
+
+
+def summary_points(summary: DataFrame, names: Sequence[str], percent: int) -> DataFrame:
+    """What ``observed_points`` gives, from ``turn_summary``: turns are added up per file before anything is shuffled."""
+    files = summary.groupBy("file_idx").agg(F.count_distinct("turn").alias("n_turns"))
+    every = files.select("file_idx", "n_turns", F.explode(F.array(*map(F.lit, names))).alias("name"))
+    counts = summary.select("file_idx", F.explode("seen").alias("name")).groupBy("file_idx", "name").agg(F.count("*").alias("n"))
+    found = every.join(counts, ["file_idx", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.withColumn("good", 100 * F.col("n") >= percent * F.col("n_turns"))
+
+
 def resolve_window(points: DataFrame, window: str) -> DataFrame:
     """(file_idx, start, end): the window's two points (``start/end``), each replaced by the file's first point in the ring if it has none."""
     first = F.min_by("name", "ring_pos")

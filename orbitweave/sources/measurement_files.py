@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,16 @@ def read_measurements(spark: SparkSession, paths: Sequence[str], markers: Sequen
 
     The list of markers and the columns reach the Parquet scan; what a file is called
     and where a row stood are taken there, before any shuffle. A file that lacks a
-    column is an error that names it.
+    column is an error that names it, and so is one that is given twice, in whatever way.
     """
-    for path in paths:
-        missing = set(COLUMNS) - set(spark.read.parquet(path).columns)
-        if missing:
-            raise ValueError(f"{path} lacks {sorted(missing)}; write the measurement again")
     plain = [_plain(path) for path in paths]
+    if twice := sorted({p for p in plain if plain.count(p) > 1 or any(p.startswith(f"{q}/") for q in plain)}):
+        raise ValueError(f"given twice: {twice}")
+    with ThreadPoolExecutor(16) as pool:  # one footer a path
+        columns = pool.map(lambda path: spark.read.parquet(path).columns, paths)
+    for path, names in zip(paths, columns, strict=True):
+        if missing := set(COLUMNS) - set(names):
+            raise ValueError(f"{path} lacks {sorted(missing)}; write the measurement again")
     # Spark writes the path as an address; a plus is itself there.
     address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = spark.read.schema(SCHEMA).parquet(*paths).select(

@@ -30,6 +30,7 @@ HISTORY = T.StructType(
     ]
 )
 ATTEMPTS = "attempt int, name string, started double, knob_names array<string>, resume_step long"
+RESULT = "loss double, values map<string,double>, uncertainties map<string,double>"
 STAGE = "name string, started double, knob_names array<string>, metadata map<string,string>"
 
 
@@ -40,6 +41,13 @@ def read_stages(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     return rows.withColumn("path", F.regexp_replace("path", "/stage\\.json$", "")).orderBy("started", "path")
 
 
+def read_results(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """(path, loss, values, uncertainties) of all results under the roots; a file that is no JSON object has null columns."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "result.json").option("multiLine", True)
+    rows = reader.schema(RESULT).json(list(roots)).select(F.col("_metadata.file_path").alias("path"), "*")
+    return rows.withColumn("path", F.regexp_replace("path", "/result\\.json$", ""))
+
+
 def unfinished(stages: DataFrame, results: DataFrame, histories: DataFrame, name: str) -> DataFrame:
     """The newest stage of a name with history and without result, at most one row; others have a ``path``."""
     open_ones = stages.where(F.col("name") == name).join(results.select("path"), "path", "left_anti")

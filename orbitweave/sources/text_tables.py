@@ -68,6 +68,14 @@ def read_tfs(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]
     return rows.select("row", *columns), headers
 
 
+def read_error_strengths(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value): integrated gradient errors by element from a TFS error table with the columns NAME and K1L; the last row of a name counts."""
+    rows, _ = read_tfs(spark, path)
+    if missing := sorted({"name", "k1l"} - set(rows.columns)):
+        raise ValueError(f"{path} has no columns {missing}")
+    return rows.groupBy("name").agg(F.max_by(F.col("k1l").cast("double"), "row").alias("value"))
+
+
 def read_arc_results(spark: SparkSession, path: str) -> DataFrame:
     """(row, label, arc, value) from a tab-separated file whose second column lists values by comma."""
     rows = _numbered(spark, path).where(F.trim("value") != "").where(~F.col("value").startswith("#"))
