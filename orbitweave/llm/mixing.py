@@ -26,7 +26,7 @@ from .tokens import count_ids
 LEVELS = ("domain", "lang", "source")
 #: Each level cuts a cell of the seeded order into 64: after three, 262,144 cells a source.
 CELL_LEVELS = 3
-_PIECE_DOCS = 256
+_PIECE_DOCS = 1024
 
 
 def deal(children: DataFrame, budgets: DataFrame, parent: list[str]) -> DataFrame:

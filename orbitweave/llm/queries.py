@@ -17,6 +17,7 @@ from .quality import quality_scores
 from .recipes import MIX_SHARE, domain_of, source_weights
 from .repeat_queries import op11_periodic_runs, op12_suffix_array_dedup, op13_phrase_collocations
 from .threshold_topk import top_inner_products
+from .tokens import default_tokenizer
 from .token_files import read_token_files, write_token_files
 from .url_rules import glob_rule, host_rule, judge_urls, rule_table, word_rule
 
@@ -88,10 +89,10 @@ FROM (SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_siz
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that mixing takes from ``documents`` in up to two epochs, by words; the pipeline counts a tokenizer's ids."""
+    """The rows that mixing takes from ``documents`` in up to two epochs, by ids of the tokenizer."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = domain_of(F.col("source")), F.col("lang"), F.col("source")
-    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, max_epochs=2)
+    mixed = mix(docs, source_weights(docs), *names, share=MIX_SHARE, max_epochs=2, tokenizer=default_tokenizer())
     return mixed.select("doc_id", F.col("mix_epoch").alias("epoch"), domain_of(F.col("source")).alias("domain"), "lang", "source")
 
 
