@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from orbitweave.jobs.registry import query
 from orbitweave.functions.missing import weight
 from orbitweave.jobs.estimation import _MERGED, merged
-from orbitweave.jobs.views import MEAS, MONITORS, NOISE, jacobians, measurements, noise, ring
+from orbitweave.jobs.views import JAC, MEAS, MONITORS, NOISE, jacobians, measurements, noise, ring, solved_sql
 from orbitweave.operators import reductions
 from orbitweave.operators.solvers import Degeneracy, Evaluation, Outcome, add_prior, covariance, degeneracy, eliminate_gains, levenberg_marquardt, sandwich
 
@@ -86,7 +86,18 @@ def _rows(spark: SparkSession, columns: dict[str, Sequence]) -> DataFrame:
     return spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
 
 
-@query()
+_SYSTEM = ", ".join(
+    [f"sum(w * j[{i + 1}] * j[{k + 1}]) AS a{i}_{k}" for i in range(4) for k in range(4)] + [f"sum(w * j[{i + 1}] * target) AS b{i}_0" for i in range(4)]
+    + [f"CAST({int(i == k)} AS DOUBLE) AS b{i}_{k + 1}" for i in range(4) for k in range(4)]
+)
+
+
+@query(f"""
+WITH {JAC},
+m AS (SELECT {_SYSTEM} FROM jac), yy AS (SELECT sum(w * target * target) AS yy FROM jac),
+{solved_sql("x", "m", 4, 5)},
+loss AS (SELECT yy - ({" + ".join(f"m.b{i}_0 * x.x{i}_0" for i in range(4))}) AS loss FROM m, x, yy)
+""" + " UNION ALL ".join(f"SELECT 'k{i}' AS knob, round(x{i}_0, 7) AS value, round(sqrt(x{i}_{i + 1}), 8) AS sigma, round(loss, 4) AS loss FROM x, loss" for i in range(4)))
 def lm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four linear knobs fitted to the readings by damped Gauss-Newton steps."""
     base = jacobians(spark, sf_dir).cache()
@@ -99,10 +110,20 @@ def lm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = levenberg_marquardt(at, np.zeros(4), damping=1e-6, steps=8, loss_limit=1e-9)
     sigma = np.sqrt(np.diag(covariance(gauss_newton_sums(base.withColumn("residual", F.lit(0.0)), 4)[2])))
     base.unpersist()
-    return _rows(spark, {"knob": [f"k{i}" for i in range(4)], "value": found.values, "sigma": sigma, "loss": [found.loss] * 4})
+    return _rows(spark, {"knob": [f"k{i}" for i in range(4)], "value": np.round(found.values, 7), "sigma": np.round(sigma, 8), "loss": [round(found.loss, 4)] * 4})
 
 
-@query()
+@query(f"""
+WITH {JAC},
+r AS (SELECT 'g' || vec_id % 6 AS name, w, j, target AS m, target - 4.5 AS r FROM jac),
+s AS (
+  SELECT name, sum(w * m * m) + 1.0 AS d, sum(w * m * r) AS g, {", ".join(f"sum(w * j[{i + 1}] * m) AS u{i}, sum(w * j[{i + 1}] * r) AS g{i}" for i in range(4))},
+         {", ".join(f"sum(w * j[{i + 1}] * j[{k + 1}]) AS q{i}_{k}" for i in range(4) for k in range(4))}
+  FROM r GROUP BY name),
+m AS (SELECT {", ".join([f"sum(q{i}_{k} - u{i} * u{k} / d) AS a{i}_{k}" for i in range(4) for k in range(4)] + [f"-sum(g{i} - u{i} * g / d) AS b{i}_0" for i in range(4)])} FROM s),
+{solved_sql("x", "m", 4, 1)}
+SELECT name, round(-(g + {" + ".join(f"u{i} * x{i}_0" for i in range(4))}) / d, 8) AS step FROM s, x
+""" + "".join(f" UNION ALL SELECT 'k{i}', round(x{i}_0, 8) FROM x" for i in range(4)))
 def schur_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step for knobs and gains together, the gains eliminated."""
     rows = jacobians(spark, sf_dir).select(
@@ -128,7 +149,7 @@ def schur_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     reduced = eliminate_gains(uu, ub, bb, gu, gb, ridge=1.0)
     step = -np.linalg.solve(reduced.hessian, reduced.gradient)
     gains = reduced.gains(step)
-    return _rows(spark, {"name": [f"k{i}" for i in range(4)] + names, "step": np.concatenate([step, gains])})
+    return _rows(spark, {"name": [f"k{i}" for i in range(4)] + names, "step": np.round(np.concatenate([step, gains]), 8)})
 
 
 @query(_MERGED + """,

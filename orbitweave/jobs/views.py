@@ -66,22 +66,48 @@ noise AS (
 
 
 def jacobians(spark: SparkSession, sf_dir: str, knobs: int | None = 4) -> DataFrame:
-    """(vec_id, jac, target, weight) from ``embeddings``: derivatives by the first knobs or all, every seventh reading without weight."""
+    """(vec_id, jac, target, weight) from ``embeddings``: a derivative per component, or sums of as many groups of them as there are knobs.
+
+    Every seventh reading has no weight.
+    """
     rows = table(spark, sf_dir, "embeddings")
-    jac = F.transform(F.slice("embedding", 1, knobs) if knobs else "embedding", lambda x: x.cast("double"))
+    each = F.transform("embedding", lambda x: x.cast("double"))
+    if knobs:
+        size = F.expr(f"cast(size(embedding) div {knobs} as int)")
+        sums = lambda k: F.aggregate(F.slice(each, k * size + 1, size), F.lit(0.0), lambda a, x: a + x)
+        each = F.array(*(sums(F.lit(k)) for k in range(knobs)))
     return rows.select(
-        "vec_id", jac.alias("jac"), F.col("label").cast("double").alias("target"), F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(1.0).alias("weight")
+        "vec_id", each.alias("jac"), F.col("label").cast("double").alias("target"), F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(1.0).alias("weight")
     )
 
 
-JAC = """
+JAC_ALL = """
 jac AS (
-  SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS j, CAST(label AS DOUBLE) AS target,
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS j, CAST(label AS DOUBLE) AS target,
          CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE 1.0 END AS w
   FROM embeddings)"""
 
-
-JAC_ALL = JAC.replace("[1:4]", "")
+#: Four sums of a quarter of the components each.
+JAC = JAC_ALL.replace(
+    "CAST(embedding AS DOUBLE[])",
+    "[" + ", ".join(f"list_sum(CAST(embedding[{k} * (len(embedding) // 4) + 1 : {k + 1} * (len(embedding) // 4)] AS DOUBLE[]))" for k in range(4)) + "]",
+)
+
+
+def solved_sql(name: str, source: str, size: int, rights: int) -> str:
+    """CTEs up to ``name``: the row (x<i>_<r>) of solutions for the row ``source`` of a system a<i>_<j> and right sides b<i>_<r>, by Gauss and Jordan."""
+    parts, last = [], source
+    for k in range(size):
+        terms = []
+        for i in range(size):
+            for c, n in (("a", size), ("b", rights)):
+                for j in range(n):
+                    row = f"{c}{k}_{j} / a{k}_{k}"
+                    terms.append(f"{row if i == k else f'{c}{i}_{j} - a{i}_{k} * {row}'} AS {c}{i}_{j}")
+        parts.append(f"{name}{k} AS (SELECT {', '.join(terms)} FROM {last})")
+        last = f"{name}{k}"
+    out = ", ".join(f"b{i}_{r} AS x{i}_{r}" for i in range(size) for r in range(rights))
+    return ",\n".join([*parts, f"{name} AS (SELECT {out} FROM {last})"])
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
