@@ -86,12 +86,18 @@ def top_inner_products(
     Ties go to the smaller id; a query with fewer partners gets them all. Rows of
     one id are no partners of each other, and repeated rows count as often as they
     occur. ``query_rows`` bounds what one pass broadcasts; any number of queries is
-    answered. Sums are exact while they stay below 2 ** 53.
+    answered. Sums are exact: a vector whose squares sum to 2 ** 53 or more, with which
+    they might not be, is an error that names its id. Query rows of one id with
+    different vectors share one list of k.
     """
     spark = vectors.sparkSession
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite)
     whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    # No sum of products, nor a part of one, exceeds the larger of both vectors' squares.
+    squares = F.aggregate(vector_col, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * scale).cast("double"), F.lit(2.0)))
+    large = F.raise_error(F.concat(F.lit("components are too large in the vector of "), F.col(id_col).cast("string"))).cast("array<long>")
+    whole = F.when(squares < 2.0**53, whole).otherwise(large)
     usable = usable.select(F.col(id_col).alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     queries = materialize(usable.where("q").select("id", "v").distinct(), "topk-queries")
     total = queries.count()

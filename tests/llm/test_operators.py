@@ -21,7 +21,7 @@ from orbitweave.llm.mixing import leaf_budgets, mix
 from orbitweave.llm.near_dedup import near_duplicates
 from orbitweave.llm.packing import best_filling, pack, plan_windows
 from orbitweave.llm.pii import find_personal_data
-from orbitweave.llm.quality import quality_scores
+from orbitweave.llm.quality import quality_scores, text_statistics
 from orbitweave.llm.shingles import BAND_ROWS, BANDS, SIZE_CLASSES, band_keys, parity_sketch, shingle_sets, signatures
 from orbitweave.llm.threshold_topk import top_inner_products
 from orbitweave.llm.token_files import read_token_files, write_token_files
@@ -387,6 +387,41 @@ def test_quality_learns_and_scores_odd_rows(spark):
     assert {r.score for r in few} == {0.5}
 
 
+def test_quality_equals_a_plain_quadratic_discriminant(spark):
+    """Overlapping classes, against densities from determinants and solved systems; rows that repeat or have no id too."""
+    rng = random.Random(21)
+    words = ["river", "Stone", "WIN", "now!!", "12", "a,b", "walls.", "the", "$$", "x|y"]
+
+    def text(k):
+        weights = [3, 2, 1, 1, 1, 1, 3, 4, 1, 1] if k % 2 else [1, 1, 3, 3, 2, 1, 1, 2, 2, 2]
+        return " ".join(rng.choices(words, weights, k=rng.randint(5, 60))) + "\n" * (k % 4)
+
+    texts = [text(k) for k in range(300)]
+    docs = frame(spark, [*texts, texts[1], texts[2], None], [*range(300), 1, None, None])
+    labels = spark.createDataFrame([(k, k % 2 if k % 13 else 1 - k % 2) for k in range(300)], "doc_id long, quality int")
+    rows = quality_scores(docs, labels).collect()
+    x = np.array([text_statistics(t) for t in texts])
+    y = np.array([k % 2 if k % 13 else 1 - k % 2 for k in range(300)])
+    taught = np.array([zlib.crc32(str(k).encode()) % 5 != 0 for k in range(300)])
+    taught_rows = np.append(np.flatnonzero(taught), [1] if taught[1] else [])  # a repeated row counts twice
+    x_taught, y_taught = x[taught_rows], y[taught_rows]
+    share = [np.mean(y_taught == c) for c in (0, 1)]
+    scatter = [np.cov(x_taught[y_taught == c].T, bias=True) for c in (0, 1)]
+    pooled = share[0] * scatter[0] + share[1] * scatter[1]
+    logs = []
+    for c in (0, 1):
+        covariance = 0.98 * (0.4 * scatter[c] + 0.6 * pooled) + 0.02 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        away = x - x_taught[y_taught == c].mean(axis=0)
+        logs.append(np.log(share[c]) - 0.5 * np.linalg.slogdet(covariance)[1] - 0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(covariance, away.T).T))
+    want = 1 / (1 + np.exp((logs[0] - logs[1]) / 4))
+    assert 0.05 < want.min() < 0.3 < want.max() < 0.97 or want.std() > 0.1
+    for r in rows:
+        if r.doc_id is not None:
+            assert abs(r.score - want[r.doc_id]) < 1e-6
+    assert sorted(round(r.score, 9) for r in rows if r.doc_id is None)[0:2] and len(rows) == 303
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1 and not any(r.held_out for r in rows if r.doc_id is None)
+
+
 # --- top-k --------------------------------------------------------------------------------
 
 
@@ -406,6 +441,19 @@ def test_topk_against_all_products(spark):
     assert top_inner_products(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_refuses_sums_that_would_not_be_exact(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (7, [1e9, 0.0]), (3, [None, 1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large in the vector of 7"):
+        top_inner_products(rows, F.col("vec_id") % 100 == 0).collect()
+    assert top_inner_products(rows.where("vec_id <> 7"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_topk_of_one_id_with_different_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score >> 20) for r in top_inner_products(rows, F.col("vec_id") % 100 == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 3), (2, 2, 2), (3, 1, 0)]
+
+
 # --- mixing -------------------------------------------------------------------------------
 
 
