@@ -302,9 +302,9 @@ def _taught(found: DataFrame, folds: int) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut_spans: int = 16) -> DataFrame:
-    """(id, base, proposed, cuts): base spans, proposals with features and whether they are base spans, and the
-    first ``cut_spans`` base spans of the text with their surroundings.
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, base, proposed, cuts): base spans, proposals with features and whether they are base spans, and all
+    base spans of the text with their surroundings.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("numeric", F.col("text").rlike("[0-9]"))
@@ -324,7 +324,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         loose.append(F.when(_gated(kind, F.col("text"), True), proposed).otherwise(empty))
     near = lambda at, to: F.substring(F.col("text"), at + 1, to - at)
     cuts = F.transform(
-        F.slice("base", 1, cut_spans),
+        "base",
         lambda b: F.struct(
             b["k"].alias("k"),
             near(F.greatest(b["start"] - 24, F.lit(0)), b["start"]).alias("before"),
@@ -344,7 +344,7 @@ def _joined(spans: Column) -> Column:
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, folds: int = 5, cut_spans: int = 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, folds: int = 5
 ) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added.
 
@@ -354,11 +354,10 @@ def find_personal_data(
     equal results; a null id trains like others; other columns are ignored. Without
     base spans to learn from nothing is added. ``precision`` is what the added spans of
     each way of writing must reach, at the lower end of their margin of error, on
-    held-out documents (crc32 of the id mod ``folds`` is 0).
-    ``cut_spans`` bounds the base spans of one text that trees learn from; it bounds
-    no result.
+    held-out documents (crc32 of the id mod ``folds`` is 0). Trees learn from every base
+    span of every text.
     """
-    found = materialize(find_spans(docs, id_col, text_col, cut_spans), "pii-spans")
+    found = materialize(find_spans(docs, id_col, text_col), "pii-spans")
     each = _taught(found, folds)
     # A row per value vector of FEATURES, whatever the corpus: of 4 kinds with up to 21 * 9 * 2 * 4 * 4 * 2 * 9 * 6 values, mostly some hundreds.
     table = each.groupBy("held", "label", *FEATURES).agg(F.sum("n").alias("n")).orderBy("held", "label", *FEATURES).collect()

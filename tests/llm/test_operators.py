@@ -728,6 +728,14 @@ def test_few_held_out_spans_prove_nothing(spark):
     assert calibrated_cut(score, good, bad, 0.98, 3.0) == float("inf")
 
 
+def test_spans_at_the_end_of_long_texts_teach_too(spark):
+    mails = " ".join(f"mail n{k}.x@site.org" for k in range(20))
+    texts = [f"{mails} then " + " and ".join(f"call +1 (2{j:02d}) 555-{k:04d} now" for j in range(30)) for k in range(20)]
+    got = {r.doc_id: r for r in find_personal_data(frame(spark, [*texts, "call 1 (243) 555-3824 now"])).collect()}
+    assert [got[k].n_phone for k in range(20)] == [30] * 20
+    assert got[20].spans == "phone:5:21"
+
+
 def test_personal_data_of_repeated_and_missing_ids(spark):
     text = "call +1 (200) 555-0199 now"
     got = find_personal_data(frame(spark, [text, text, text, None], [None, 7, 7, 7])).collect()
