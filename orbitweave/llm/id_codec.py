@@ -61,6 +61,7 @@ class _Model:
         self.rate_two[:, 0] = self.rate_one[:, 0] = 0
         self.rate_two, self.rate_one = self.rate_two.ravel(), self.rate_one.ravel()
         self.counts = [np.ones(lanes * 256, np.int32) for _ in range(2)]
+        self.seen: list[list[np.ndarray]] = [[], []]  # places in ``counts`` since the last rebuild
         self.cum = [np.zeros(lanes * 257, np.int32) for _ in range(2)]
         self.symbols = [np.zeros(lanes * TABLE, np.uint8) for _ in range(2)] if decoding else None
         self.bytes = np.tile(np.arange(256, dtype=np.uint8), lanes)
@@ -70,6 +71,9 @@ class _Model:
     def rebuild(self, n: int) -> None:
         """Order-0 tables from the counts so far; every byte keeps a share, and shares fill the table."""
         for k in (0, 1):
+            if self.seen[k]:
+                self.counts[k] += np.bincount(np.concatenate(self.seen[k]), minlength=len(self.counts[k])).astype(np.int32) * np.int32(24)
+                self.seen[k].clear()
             counts = self.counts[k][: n * 256].reshape(n, 256)
             share = 1 + counts * np.int32(TABLE - 256) // counts.sum(axis=1, keepdims=True, dtype=np.int32)
             share[:, 255] += TABLE - share.sum(axis=1, dtype=np.int32)
@@ -101,12 +105,12 @@ class _Model:
         tried = (self.share_one > 0) & ~hit_two
         self.rate_one[self.at_rate_one] = self.r_one + ((target - self.r_one) * tried >> 4)
         new = ids << 4
-        self.two[self.at_two] = new + np.where(hit_two, np.minimum(self.c_two + 1, 15), 1)
-        kept = (self.id_one == ids) & (self.c_one > 0)
-        self.one[self.at_one] = new + np.where(kept, np.minimum(self.c_one + 1, 15), 1)
-        seen, lane = ids[literal], self.by256[literal]
-        self.counts[0][lane + (seen >> 8)] += 24
-        self.counts[1][lane + (seen & 255)] += 24
+        # Confidence grows with a hit, up to 15, and is 1 after a miss.
+        self.two[self.at_two] = new + np.minimum(self.c_two * hit_two + 1, 15)
+        self.one[self.at_one] = new + np.minimum(self.c_one * (self.id_one == ids) + 1, 15)
+        seen, lane = ids.take(literal), self.by256.take(literal)
+        self.seen[0].append(lane + (seen >> 8))
+        self.seen[1].append(lane + (seen & 255))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -125,7 +129,7 @@ def encode_blocks(ids: np.ndarray, size: int) -> list[bytes]:
     lanes = len(grid)
     if not lanes:
         return []
-    columns = np.ascontiguousarray(grid.T)
+    columns = np.ascontiguousarray(grid.T, np.int32)
     model = _Model(lanes, decoding=False)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, _FULL - 1, np.int64)
     width = 2 * size + 8
@@ -199,7 +203,7 @@ def decode_blocks(words: list[bytes], ids: int, size: int) -> np.ndarray:
     ahead = (read[at].astype(np.int64) << 32) | (read[at + 1].astype(np.int64) << 16) | read[at + 2]
     span = np.full(lanes, _FULL - 1, np.int64)
     at += 3
-    columns = np.zeros((size, lanes), np.int64)
+    columns = np.zeros((size, lanes), np.int32)
 
     def refill() -> None:
         short = np.flatnonzero(span < (1 << 32))
@@ -244,11 +248,11 @@ def decode_blocks(words: list[bytes], ids: int, size: int) -> np.ndarray:
         ahead[literal] = near - wide * a
         span[literal] = wide * (model.cum[1].take(slot + 1) - a)
         refill()
-        x = np.where(hit_two, model.id_two, model.id_one).astype(np.int64)
+        x = np.where(hit_two, model.id_two, model.id_one)
         x[literal] = (high << 8) | byte
         columns[t, :n] = x
         model.learn(n, x, hit_two, hit_one, literal)
-    return np.ascontiguousarray(columns.T).ravel()[:ids]
+    return np.ascontiguousarray(columns.T, np.int64).ravel()[:ids]
 
 
 def write_segment(docs: list[tuple[int | None, np.ndarray]]) -> bytes:

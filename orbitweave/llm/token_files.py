@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,16 @@ from .id_codec import read_segment, write_segment
 from .shared import materialize
 from .tokens import default_tokenizer, encode_words
 
-_PIECE_DOCS = 256
+#: Bytes of text whose words are looked up together.
+_PIECE_BYTES = 4 << 20
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Whole documents of about ``_PIECE_BYTES``, in order."""
+    piece = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(), dtype=np.int64) // _PIECE_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(batch)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.slice(a, b - a)
 
 
 def write_token_files(
@@ -51,8 +61,7 @@ def write_token_files(
             )
 
         for batch in batches:
-            for at in range(0, len(batch), _PIECE_DOCS):
-                part = batch.slice(at, _PIECE_DOCS)
+            for part in _pieces(batch):
                 for doc, ids in zip(part.column(0).to_pylist(), encode_words(part.column(1).to_pylist(), path), strict=True):
                     held.append((doc, np.frombuffer(ids + tail, "<u4").astype(np.int64)))
                     size += len(held[-1][1])

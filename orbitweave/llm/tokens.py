@@ -2,12 +2,16 @@
 
 A tokenizer that drops white space encodes each word on its own, so a worker keeps
 the ids of the words that it has met and hands only new words to the tokenizers
-library. The ids equal those of the whole text; tests compare them.
+library: by parts (runs of letters, digits, runs of marks) where its rules cut words
+there anyway, so that parts met in other words are known too. The ids equal those of
+the whole text; tests compare them.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,21 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _WORDS: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 #: The same of numbers of ids alone.
 _COUNTS: dict[str, tuple[dict[bytes, int], dict[bytes, int]]] = {}
+#: The same of parts of words.
+_PARTS: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _LOADED: dict[str, object] = {}
-_KEEP_WORDS = 600_000
+#: By tokenizer file, which ids end a part; None where words are not encoded by parts.
+_ENDS: dict[str, np.ndarray | None] = {}
+_KEEP_COUNTS, _KEEP_WORDS, _KEEP_PARTS = 600_000, 400_000, 200_000
+#: Parts in one call of the library.
+_JOINED = 64
+
+#: The rules under which a plain word's ids are those of its parts, each in lower case.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Letters that NFC keeps and that have one lower case, digits, and marks that begin no added token and no ``'s``.
+_PLAIN = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+").findall
 
 
 _BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -44,18 +61,9 @@ def load(path: str):
 def count_ids(texts: list[bytes | None], path: str) -> list[int]:
     """Numbers of ids of each text, by the words that ``encode_words`` would encode; each distinct word is looked up once."""
     known, older = _COUNTS.setdefault(path, ({}, {}))
-    if len(known) > _KEEP_WORDS:
+    if len(known) > _KEEP_COUNTS:
         known, older = _COUNTS[path] = ({}, known)
-    raw = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)
-    inside = ~_BLANK[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        return [0] * len(texts)
-    offsets = np.concatenate([[0], np.cumsum(end - start)])
-    letters = np.ascontiguousarray(raw[inside])
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    distinct = words.dictionary.to_pylist()
+    bounds, distinct, index = _distinct(texts)
     new = [w for w in distinct if w not in known]
     for word in [w for w in new if w in older]:
         known[word] = older[word]
@@ -64,9 +72,20 @@ def count_ids(texts: list[bytes | None], path: str) -> list[int]:
         for word, e in zip(new, load(path).encode_batch_fast(decoded, add_special_tokens=False), strict=True):
             known[word] = len(e.ids)
     lengths = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-    ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    of = np.searchsorted(ends, start, "right")
-    return np.bincount(of, lengths[words.indices.to_numpy()], len(texts)).astype(np.int64).tolist()
+    return np.diff(np.concatenate([[0], np.cumsum(lengths[index])])[bounds]).tolist()
+
+
+def _distinct(texts: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """How many words come before each text and in all, the distinct words, and which of them each word is."""
+    raw = np.frombuffer(b" ".join([*(t or b"" for t in texts), b""]), np.uint8)
+    inside = ~_BLANK[raw]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    bounds = np.searchsorted(start, np.cumsum([0, *(len(t or b"") + 1 for t in texts)]))
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    letters = np.ascontiguousarray(raw[inside])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return bounds, words.dictionary.to_pylist(), words.indices.to_numpy()
 
 
 def encode_words(texts: list[bytes | None], path: str) -> list[bytes]:
@@ -75,12 +94,19 @@ def encode_words(texts: list[bytes | None], path: str) -> list[bytes]:
     Only for tokenizers whose pre-tokenizer never joins characters across ASCII
     white space and drops it.
     """
-    known, split = _known(texts, path)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+    bounds, distinct, index = _distinct(texts)
+    known = _known(distinct, path)
+    ids = list(map(known.__getitem__, distinct))
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    sizes = lengths[index]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.repeat((np.cumsum(lengths) - lengths)[index] - ends[:-1], sizes) + np.arange(ends[-1])
+    flat, edges = np.frombuffer(b"".join(ids), "<u4").take(place).tobytes(), (4 * ends[bounds]).tolist()
+    return [flat[a:b] for a, b in zip(edges, edges[1:])]
 
 
-def _known(texts: list[bytes | None], path: str) -> tuple[dict[bytes, bytes], list[list[bytes]]]:
-    """Ids of words, all of the texts' among them, and the words of each text.
+def _known(words: list[bytes], path: str) -> dict[bytes, bytes]:
+    """Ids of words, all of these distinct ones among them.
 
     Once ``_KEEP_WORDS`` words were met, those not met again while as many others come
     are forgotten.
@@ -88,15 +114,74 @@ def _known(texts: list[bytes | None], path: str) -> tuple[dict[bytes, bytes], li
     known, older = _WORDS.setdefault(path, ({}, {}))
     if len(known) > _KEEP_WORDS:
         known, older = _WORDS[path] = ({}, known)
-    split = [(t or b"").split() for t in texts]
-    new = set().union(*split).difference(known)
+    missing = [w for w in words if w not in known]
+    new = []
+    for word in missing:
+        if (ids := older.get(word)) is None:
+            new.append(word)
+        else:
+            known[word] = ids
+    plain, whole = [], []
+    cut = _part_ends(path) is not None
+    for word in new:
+        text = word.decode("utf-8", "replace")
+        if cut and _PLAIN(text):
+            plain.append((word, _PART(text.lower())))
+        else:
+            whole.append((word, text))
+    if plain:
+        parts = _known_parts({p for _, own in plain for p in own}, path)
+        for word, own in plain:
+            known[word] = parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own])
+    if whole:
+        for (word, _), ids in zip(whole, _encoded([t for _, t in whole], path), strict=True):
+            known[word] = ids
+    return known
+
+
+def _encoded(texts: list[str], path: str) -> list[bytes]:
+    return [np.asarray(e.ids, "<u4").tobytes() for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _part_ends(path: str) -> np.ndarray | None:
+    """Which ids end a part, if the tokenizer cuts words by ``_CUT`` and marks the ends of parts."""
+    if path not in _ENDS:
+        rules = json.loads(load(path).to_str())
+        suffix = rules["model"].get("end_of_word_suffix")
+        normal, cuts = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        split, *rest = cuts.get("pretokenizers") or [{}]
+        known = (
+            normal.get("normalizers") == _NORMAL and split == {"type": "Split", "pattern": {"Regex": _CUT}, "behavior": "Removed", "invert": True}
+            and len(rest) == 1 and rest[0]["type"] == "ByteLevel" and not rest[0]["use_regex"] and not rest[0]["add_prefix_space"]
+            and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"] and suffix and rules["post_processor"] is None
+            and all("<" in t["content"][:1] for t in rules["added_tokens"])
+        )
+        ends = None
+        if known:
+            vocab = load(path).get_vocab()
+            ends = np.zeros(max(vocab.values()) + 1, bool)
+            ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        _ENDS[path] = ends
+    return _ENDS[path]
+
+
+def _known_parts(wanted: set[str], path: str) -> dict[str, bytes]:
+    """Ids of parts, all that are wanted among them; new ones are encoded many at a time and told apart by their last ids."""
+    known, older = _PARTS.setdefault(path, ({}, {}))
+    if len(known) > _KEEP_PARTS:
+        known, older = _PARTS[path] = ({}, known)
+    new = wanted.difference(known)
     again = new.intersection(older)
-    for word in again:
-        known[word] = older[word]
+    for part in again:
+        known[part] = older[part]
     new = list(new - again)
-    if new:
-        tokenizer = load(path)
-        decoded = [w.decode("utf-8", "replace") for w in new]
-        for word, e in zip(new, tokenizer.encode_batch_fast(decoded, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(e.ids, "<u4").tobytes()
-    return known, split
+    ends = _part_ends(path)
+    groups = [new[at : at + _JOINED] for at in range(0, len(new), _JOINED)]
+    for group, e in zip(groups, load(path).encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = np.asarray(e.ids, "<u4")
+        raw, to = ids.tobytes(), ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(to) == len(group):
+            known.update(zip(group, map(raw.__getitem__, map(slice, [0, *to[:-1]], to)), strict=True))
+        else:
+            known.update(zip(group, _encoded(group, path), strict=True))
+    return known

@@ -13,6 +13,7 @@ from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from orbitweave.llm import tokens
 from orbitweave.llm.boosting import boost, calibrated_cut
 from orbitweave.llm.exact_dedup import bucket_directory, exact_dedup
 from orbitweave.llm.id_codec import read_segment, write_segment
@@ -257,6 +258,33 @@ def test_words_encode_like_whole_texts():
     assert got == [e.ids for e in whole]
 
 
+def test_new_words_are_encoded_by_the_parts_they_share(monkeypatch):
+    path, handed = default_tokenizer(), []
+    real = load(path)
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(" ".join(texts).split())
+            return real.encode_batch_fast(texts, **options)
+
+    monkeypatch.setitem(tokens._LOADED, path, Counting())
+    monkeypatch.setattr(tokens, "_WORDS", {})
+    monkeypatch.setattr(tokens, "_PARTS", {}, raising=False)
+    text = "Quorvex, quorvex. (QUORVEX) équorvex7 quorvex! 77"
+    got = np.frombuffer(encode_words([text.encode()], path)[0], "<u4").tolist()
+    assert got == real.encode(text, add_special_tokens=False).ids
+    assert sorted(handed) == sorted(["quorvex", "équorvex", ",", ".", "(", ")", "!", "7"])
+    rng = random.Random(3)
+    odd = "abXYZßÀéÿÞ×÷µªº089.,;!'<|>/_-()½Σσİ\u0301\x85\xa0 s t"
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    whole = [e.ids for e in real.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode_words([t.encode() for t in texts], path)] == whole
+    assert encode_words([], path) == [] and encode_words([None, b""], path) == [b"", b""]
+
+
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), max_size=12), st.integers(1, 60))
 @settings(max_examples=150, deadline=None)
 def test_best_filling_is_the_best(counts, room):
