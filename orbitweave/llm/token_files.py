@@ -63,7 +63,7 @@ def write_token_files(
         for batch in batches:
             for part in _pieces(batch):
                 for doc, ids in zip(part.column(0).to_pylist(), encode_words(part.column(1).to_pylist(), path), strict=True):
-                    held.append((doc, np.frombuffer(ids + tail, "<u4").astype(np.int64)))
+                    held.append((doc, np.frombuffer(ids + tail, "<u4")))
                     size += len(held[-1][1])
                     if size >= segment_ids:
                         yield closed()

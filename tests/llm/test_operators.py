@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from orbitweave.llm import tokens
 from orbitweave.llm.boosting import boost, calibrated_cut
 from orbitweave.llm.exact_dedup import bucket_directory, exact_dedup
+from orbitweave.llm import id_codec
 from orbitweave.llm.id_codec import read_segment, write_segment
 from orbitweave.llm.lm_scoring import backoff_scores
 from orbitweave.llm.mixing import leaf_budgets, mix
@@ -285,6 +286,24 @@ def test_new_words_are_encoded_by_the_parts_they_share(monkeypatch):
     assert encode_words([], path) == [] and encode_words([None, b""], path) == [b"", b""]
 
 
+def test_words_are_kept_by_their_parts(monkeypatch):
+    path = default_tokenizer()
+    monkeypatch.setattr(tokens, "_WORDS", {})
+    names = ["quor", "vexé", "thon", "blé"]
+    text = " ".join(f"{a}{m}{b.upper()}" for a in names for m in ",.!?-" for b in names)
+    got = np.frombuffer(encode_words([text.encode()], path)[0], "<u4").tolist()
+    assert got == load(path).encode(text, add_special_tokens=False).ids
+    assert sorted(tokens._WORDS[path][0]) == sorted(p.encode() for p in [*names, *",.!?-"])
+
+
+def test_broken_utf8_is_encoded_as_its_replacement():
+    rng = random.Random(8)
+    some = [b"\xc3", b"\xc3\xa9", b"\xc3\x89", b"\x80", b"\xc3\x97", b"\xc3\xb7", b"\xe2\x80", b"a", b"Z", b"'", b" ", b"\n", b".", b"\xff"]
+    texts = [b"\x80", b"\xc3", b"\xc3\xc3\xa9", b"\xa9 \xc3", *(b"".join(rng.choices(some, k=rng.randrange(12))) for _ in range(2000))]
+    whole = load(default_tokenizer()).encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode_words(texts, default_tokenizer())] == [e.ids for e in whole]
+
+
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), max_size=12), st.integers(1, 60))
 @settings(max_examples=150, deadline=None)
 def test_best_filling_is_the_best(counts, room):
@@ -387,6 +406,33 @@ def test_ordinary_ids_take_less_than_16_bits(spark):
     assert len(write_segment([(1, ids)])) < 2 * len(ids) * 0.8
 
 
+def test_blocks_share_the_frequencies_of_their_segment():
+    """Each of these blocks is too short to learn 20,000 ids; their shares stand once in the segment."""
+    ids = np.minimum(np.random.default_rng(4).zipf(1.3, 1_200_000), 20_000) * 3
+    data = write_segment([(1, ids)])
+    assert len(data) < 0.95 * len(ids)
+    assert np.array_equal(read_segment(data)[0][1], ids)
+
+
+def test_predictions_that_hold_and_break_come_back(monkeypatch):
+    rng = np.random.default_rng(6)
+    parts = [np.tile(rng.integers(0, 70_000, rng.integers(1, 4)), rng.integers(1, 300)) for _ in range(600)]
+    ids = np.concatenate([np.append(p, rng.integers(0, 2**32, dtype=np.int64)) for p in parts])
+    rare = np.zeros(70_000, np.int64)
+    rare[rng.integers(0, 70_000, 40)] = rng.integers(1, 60_000, 40)
+    for most in (1 << 20, 500):  # one stream; two of halves
+        monkeypatch.setattr(id_codec, "_MOST", most)
+        for x in (ids, rare, ids[:1], np.arange(300_000)):
+            assert np.array_equal(read_segment(write_segment([(None, x)]))[0][1], x)
+
+
+def test_a_damaged_table_of_shares_is_an_error():
+    data = bytearray(write_segment([(1, np.arange(3000) % 7)]))
+    data[50] ^= 1
+    with pytest.raises((ValueError, zlib.error)):
+        read_segment(bytes(data))
+
+
 def test_a_damaged_segment_is_an_error():
     data = bytearray(write_segment([(1, np.arange(3000))]))
     data[-40] ^= 1
